@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Buckets of the scaled draw of each source; the reached size is exact to one bucket's tokens.
 BUCKETS = 8192
 TOP = 8.0
+#: Buckets looked through beyond a source's threshold for documents that fit what is lacking.
+EDGE = 256
 
 
 def language(lang: Column) -> Column:
@@ -104,15 +106,22 @@ def mix(
     limits = []
     for s in {k[0] for k in plan}:
         lack = sum((x - int(x)) * size_of[k] for k, x in plan.items() if k[0] == s)
-        limit = 0
+        limit, more = 0, []
         for b, z in sorted((r["b"], r["z"]) for r in by_bucket if r["s"] == s):
-            if lack < z / 2:
-                break
+            if lack < z:  # too long a document at the edge: the next ones that fit fill the rest
+                more.append(None)
+                if len(more) > EDGE:
+                    break
+                continue
             lack -= z
-            limit = b + 1
-        limits.append((s, limit))
-    limit = F.broadcast(spark.createDataFrame(limits, "s string, below int"))
-    copies = F.col("times") + F.when(F.col("q").isNotNull() & (bucket < F.col("below")), 1).otherwise(0)
+            if more:
+                more.append(b)
+            else:
+                limit = b + 1
+        limits.append((s, limit, [b for b in more if b is not None]))
+    limit = F.broadcast(spark.createDataFrame(limits, "s string, below int, more array<int>"))
+    chosen = (bucket < F.col("below")) | F.array_contains("more", bucket)
+    copies = F.col("times") + F.when(F.col("q").isNotNull() & chosen, 1).otherwise(0)
     taken = drawn.join(limit, "s").withColumn("copies", copies).where("copies > 0")
     return taken.select(
         F.col("d").alias(doc_id), F.col("s").alias(source), F.col("z").alias(size), F.explode(F.sequence(F.lit(1), "copies")).alias("copy")
