@@ -138,8 +138,12 @@ EXEMPLARS = [
     )],
 ]
 
+#: Words come first, as most of a text is words; the marks are tried only where one of their first characters stands.
 _SCAN = re.compile(
-    "|".join(f"(?P<{name}>{pattern})" for name, pattern in SLOTS.items()) + r"|(?P<code>\b[45][0-9]{2}\b)|(?P<dots>\.\.\.|…)|(?P<word>[^\W\d_]+)", re.M
+    r"(?!XX)(?P<word>[^\W\d_]+)|(?=[{<\[(&_X%#$@«.…45])(?:"
+    + "|".join(f"(?P<{name}>{pattern})" for name, pattern in SLOTS.items())
+    + r"|(?P<code>\b[45][0-9]{2}\b)|(?P<dots>\.\.\.|…)|(?P<rest>[^\W\d_]+))",
+    re.M,
 )
 
 
@@ -147,7 +151,7 @@ def terms(text: str) -> Iterator[tuple[str, int, int]]:
     """(term, start, end) of a text: words in lower case, slot marks by their kind, codes of errors as one."""
     for m in _SCAN.finditer(text):
         kind = m.lastgroup
-        yield (m.group().lower() if kind == "word" else f"\u00a7{kind}"), m.start(), m.end()
+        yield (m.group().lower() if kind in ("word", "rest") else f"\u00a7{kind}"), m.start(), m.end()
 
 
 #: Words that stand inside a slot mark are read as part of it; words of an exemplar count once.
