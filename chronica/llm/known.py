@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronica.operators.shards import running_max
+
 
 def as_known_at(
     events: DataFrame,
@@ -14,6 +16,7 @@ def as_known_at(
     carried: list[str],
     shard: Column,
     inclusive: Column | None = None,
+    most_rows: int = 500_000,
 ) -> DataFrame:
     """Each event with the last version of its entity known before it.
 
@@ -25,50 +28,41 @@ def as_known_at(
     entities match each other. Repeated events stay, repeated versions change nothing. Empty
     tables give what they can: no events no rows, no versions null attributes.
 
-    ``shard`` is a function of ``time`` that never falls as time rises. A hot entity is cut by it into
-    shards; each shard gets the last version before it as carry-in, by a running maximum over one row per
-    entity and shard, and is then merged by itself. A version in an earlier shard is earlier in time, so
-    the cut never changes what is known.
+    ``shard`` is a function of ``time`` that never falls as time rises. An entity of more than
+    ``most_rows`` is cut by it into shards; each shard gets the last version before it as carry-in, by
+    a running maximum over one row per shard, and is then merged by itself. A version in an earlier
+    shard is earlier in time, so the cut never changes what is known.
     """
     keys = [f"k{i}" for i in range(len(entity))]
     named = [F.col(c).alias(k) for c, k in zip(entity, keys)]
     at = F.struct(F.col(time).alias("known_at"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(carried)])
-    known = versions.where(F.col(time).isNotNull()).select(
-        *named, F.col(time).alias("t"), F.lit(1).alias("kind"), at.alias("v"), shard.alias("shard")
-    )
+    known = versions.where(F.col(time).isNotNull()).select(*named, F.col(time).alias("t"), F.lit(1).alias("kind"), at.alias("v"), shard.alias("shard"))
     after = F.lit(0) if inclusive is None else F.when(inclusive, 2).otherwise(0)
-    asked = events.select(
-        *named, F.col(time).alias("t"), after.alias("kind"), shard.alias("shard"), F.struct(*events.columns).alias("event")
-    )
-    both = asked.unionByName(known, allowMissingColumns=True).repartition(*keys, "shard")
-
-    last = both.groupBy(*keys, "shard").agg(F.max("v").alias("last"))
-    earlier = Window.partitionBy(*keys).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    carry = last.select(
-        *[F.col(k).alias(f"c_{k}") for k in keys], F.col("shard").alias("c_shard"), F.max("last").over(earlier).alias("carry")
+    rest = [c for c in events.columns if c not in entity and c != time]
+    event = F.struct(F.lit(1).alias("e"), *[F.col(c).alias(f"e{i}") for i, c in enumerate(rest)])
+    asked = events.select(*named, F.col(time).alias("t"), after.alias("kind"), shard.alias("shard"), event.alias("event"))
+    both = asked.unionByName(known, allowMissingColumns=True)
+    merged = running_max(both, keys, [F.col("t"), F.col("kind")], "v", "seen", F.col("shard"), most_rows)
+    found = F.when(F.col("t").isNotNull(), F.col("seen"))
+    merged = merged.where("event is not null").select(*keys, "t", "event", found.alias("known"))
+    back = {**{c: F.col(k) for c, k in zip(entity, keys)}, time: F.col("t"), **{c: F.col(f"event.e{i}") for i, c in enumerate(rest)}}
+    return merged.select(
+        *[back[c].alias(c) for c in events.columns], "known.known_at", *[F.col(f"known.v{i}").alias(c) for i, c in enumerate(carried)]
     )
-    same = F.col("shard").eqNullSafe(F.col("c_shard"))
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"c_{k}"))
-    local = Window.partitionBy(*keys, "shard").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = both.withColumn("own", F.max("v").over(local)).where("event is not null").join(carry, same)
-    found = F.when(F.col("t").isNotNull(), F.coalesce("own", "carry"))
-    merged = merged.select("event", found.alias("known"))
-    return merged.select("event.*", "known.known_at", *[F.col(f"known.v{i}").alias(c) for i, c in enumerate(carried)])
 
 
 def concept_times(profiles: DataFrame) -> DataFrame:
-    """Every time a concept has in a profile: (dose_id, concept, known_text, date_only).
+    """Every time a concept has in a profile: (dose_id, index_t0, concept, known_text).
 
     The time in a visit is the concept's stamp there, or the visit's admission time if it has none.
     Concepts without either have no time. Null lists and maps are empty; blank stamps are none.
     """
-    visits = profiles.select("dose_id", F.explode("visits").alias("v"))
+    visits = profiles.select("dose_id", "index_t0", F.explode("visits").alias("v"))
     empty = F.array().cast("array<string>")
     names = F.array_distinct(F.concat(*[F.coalesce(F.col(f"v.{c}"), empty) for c in ("conditions", "procedures", "drugs")]))
-    rows = visits.select("dose_id", F.explode(names).alias("concept"), F.col("v.concept_times").alias("m"), F.col("v.admittime").alias("a"))
+    rows = visits.select("dose_id", "index_t0", F.explode(names).alias("concept"), F.col("v.concept_times").alias("m"), F.col("v.admittime").alias("a"))
     stamp = F.trim(F.try_element_at("m", F.col("concept")))
     admitted = F.trim("a")
     return rows.where(F.col("concept").isNotNull()).select(
-        "dose_id", "concept", F.when(stamp != "", stamp).when(admitted != "", admitted).alias("known_text")
+        "dose_id", "index_t0", "concept", F.when(stamp != "", stamp).when(admitted != "", admitted).alias("known_text")
     )

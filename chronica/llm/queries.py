@@ -78,16 +78,14 @@ COLUMNS = {"uo_6h_after_ml": 6.0, "escalated_24h": 24.0, "creatinine_after_48h":
 
 def _profile_knowledge(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Events and versions of the profiles on one axis of microseconds, keyed by profile and concept."""
-    profiles = table(spark, folder, "profiles").where("dose_id is not null")
-    times = known.concept_times(profiles)
+    times = known.concept_times(table(spark, folder, "profiles").where("dose_id is not null"))
     stamp = micros(parse_stamp(F.col("known_text")))
     end = F.when(is_date_only(F.col("known_text")), stamp + DAY - 1).otherwise(stamp)
-    versions = times.select(F.lit("profile").alias("origin"), F.col("dose_id").alias("record_id"), F.col("concept").alias("item"), end.cast("double").alias("time"))
-    versions = versions.where("time is not null")
-    index = profiles.groupBy("dose_id").agg(F.min(micros(parse_stamp(F.col("index_t0")))).alias("t0"))
-    asked = versions.select("origin", "record_id", "item").distinct()
-    events = asked.join(index, F.col("record_id") == F.col("dose_id")).where("t0 is not null")
-    return events.select("origin", "record_id", "item", F.col("t0").cast("double").alias("time"), F.lit(False).alias("upto")), versions
+    keys = [F.lit("profile").alias("origin"), F.col("dose_id").alias("record_id"), F.col("concept").alias("item")]
+    t0 = micros(parse_stamp(F.col("index_t0"))).cast("double")
+    both = times.select(*keys, t0.alias("t0"), end.cast("double").alias("time")).where("time is not null")
+    events = both.where("t0 is not null").select("origin", "record_id", "item", F.col("t0").alias("time"), F.lit(False).alias("upto"))
+    return events, both.drop("t0")
 
 
 def _history_knowledge(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -99,28 +97,28 @@ def _history_knowledge(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
     long = rows.select(F.col("hist_id").cast("string").alias("record_id"), F.col("hours_before_t_dec").alias("h"), F.inline(parts))
     keyed = long.select(F.lit("history").alias("origin"), "record_id", "item", (F.col("after") - F.col("h")).alias("time"))
     # A row must be known before t_dec; a response whose window closes at t_dec is known.
-    events = keyed.select("origin", "record_id", "item", F.lit(0.0).alias("time"), (F.col("item") != "row").alias("upto")).distinct()
-    return events, keyed
+    return keyed.select("origin", "record_id", "item", F.lit(0.0).alias("time"), (F.col("item") != "row").alias("upto")), keyed
 
 
 def _knowledge(spark: SparkSession, folder: str) -> DataFrame:
+    """(origin, record_id, item, known): whether the item was known at every time it is asked for."""
     pe, pv = _profile_knowledge(spark, folder)
     he, hv = _history_knowledge(spark, folder)
     # A month of microseconds, or of hours: time never runs back across shards.
     width = F.when(F.col("origin") == "profile", 30.0 * DAY).otherwise(720.0)
-    return known.as_known_at(
-        pe.unionByName(he), pv.unionByName(hv), ["origin", "record_id", "item"], "time", [], F.floor(F.col("time") / width), F.col("upto")
-    )
+    keys = ["origin", "record_id", "item"]
+    asked = known.as_known_at(pe.unionByName(he), pv.unionByName(hv), keys, "time", [], F.floor(F.col("time") / width), F.col("upto"))
+    return asked.groupBy(*keys).agg(F.bool_and(F.col("known_at").isNotNull()).alias("known"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """What stands in a profile or a history event but was not known at its time."""
-    return _knowledge(spark, folder).where("known_at is null").select("origin", "record_id", "item")
+    return _knowledge(spark, folder).where("not known").select("origin", "record_id", "item")
 
 
 def p7_known(spark: SparkSession, folder: str) -> DataFrame:
     """What was known at the time of the profile or history event: the parts that may be used."""
-    return _knowledge(spark, folder).where("known_at is not null").select("origin", "record_id", "item")
+    return _knowledge(spark, folder).where("known").select("origin", "record_id", "item")
 
 
 def _sizes(spark: SparkSession, folder: str, vocabulary: str = VOCABULARY) -> DataFrame:
