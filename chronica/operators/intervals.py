@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronica.functions.times import DAY, micros
+from chronica.operators.shards import running_max
 
 
 def periods_and_gaps(
-    df: DataFrame, keys: list[str], start: str, end: str, shard_micros: int = 7 * DAY
+    df: DataFrame, keys: list[str], start: str, end: str, shard_micros: int = 7 * DAY, most_rows: int = 500_000
 ) -> DataFrame:
     """Continuous periods and the gaps between them, as rows (keys, what, from_time, to_time).
 
@@ -17,61 +18,26 @@ def periods_and_gaps(
     not after the start, take no part. Repeated rows change nothing. Null keys form an entity of
     their own. An empty table gives an empty table. Extra columns are left out.
 
-    The rows of an entity are cut into shards of ``shard_micros`` by their start, so an entity
-    that holds a third of all rows is sorted in many tasks. Each shard gets the largest end of the
-    shards before it as carry-in; an interval opens a period if it starts after the running
-    maximum of the ends before it, and that maximum is then the end of the last period, hence the
-    start of the gap. The running values of the shards are one row per entity and shard.
+    In order of start an interval opens a period if it starts after the running maximum of the
+    ends before it; that maximum is then the end of the period before, hence the start of the gap.
+    A period is known by the start that opened it, which is the running maximum of opening starts.
+    One exchange by entity serves all of it. An entity of more than ``most_rows`` is cut into shards of
+    ``shard_micros`` by start, each with the maximum of the earlier ones as carry-in.
     """
     taken = df.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) > F.col(start)))
-    rows = taken.select(
-        *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)],
-        F.col(start).alias("s"),
-        F.col(end).alias("e"),
-        F.floor(micros(F.col(start)) / shard_micros).alias("shard"),
-    )
     ks = [f"k{i}" for i in range(len(keys))]
-    # One exchange serves the merge of equal starts, the local windows and the shard summaries.
-    rows = rows.repartition(*ks, "shard").groupBy(*ks, "shard", "s").agg(F.max("e").alias("e"))
-
-    carry = _carried(rows.groupBy(*ks, "shard").agg(F.max("e").alias("m")), ks, "m")
-    inside = Window.partitionBy(*ks, "shard").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    opened = rows.withColumn("m", F.max("e").over(inside))
-    opened = _join_null_safe(opened, carry, [*ks, "shard"]).select(
-        *ks, "shard", "s", "e", F.greatest("m", "carry").alias("before")
-    )
-    opened = opened.withColumn("new", F.col("before").isNull() | (F.col("s") > F.col("before")))
+    rows = taken.select(*[F.col(c).alias(k) for c, k in zip(keys, ks)], F.col(start).alias("s"), F.col(end).alias("e"))
+    order, shard = [F.col("s"), F.col("e")], F.floor(micros(F.col("s")) / shard_micros)
 
-    # The start of the period a row belongs to: the last opening in its shard or in an earlier one.
-    last = opened.groupBy(*ks, "shard").agg(F.max(F.when(F.col("new"), F.col("s"))).alias("m"))
-    upto = Window.partitionBy(*ks, "shard").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    placed = _join_null_safe(
-        opened.withColumn("own", F.max(F.when(F.col("new"), F.col("s"))).over(upto)), _carried(last, ks, "m"), [*ks, "shard"]
-    ).withColumn("opened", F.coalesce("own", "carry"))
+    rows = running_max(rows, ks, order, "e", "before", shard, most_rows, before=True)
+    rows = rows.withColumn("new", F.when(F.col("before").isNull() | (F.col("s") > F.col("before")), F.col("s")))
+    rows = running_max(rows, ks, order, "new", "opened", shard, most_rows)
+    merged = rows.groupBy(*ks, "opened").agg(F.max("e").alias("closed"), F.max(F.when(F.col("new").isNotNull(), F.col("before"))).alias("gap"))
 
-    named = [F.col(k).alias(name) for k, name in zip(ks, keys)]
-    merged = placed.groupBy(*ks, "opened").agg(
-        F.max("e").alias("closed"), F.max(F.when(F.col("new"), F.col("before"))).alias("before")
-    )
     # One pass gives both: each period, and the gap that ends where the period starts.
-    what = F.array(
+    both = F.array(
         F.struct(F.lit("period").alias("what"), F.col("opened").alias("from_time"), F.col("closed").alias("to_time")),
-        F.struct(F.lit("gap").alias("what"), F.col("before").alias("from_time"), F.col("opened").alias("to_time")),
+        F.struct(F.lit("gap").alias("what"), F.col("gap").alias("from_time"), F.col("opened").alias("to_time")),
     )
-    out = merged.select(*named, F.inline(what))
+    out = merged.select(*[F.col(k).alias(c) for c, k in zip(keys, ks)], F.inline(both))
     return out.where(F.col("from_time").isNotNull())
-
-
-def _carried(shards: DataFrame, ks: list[str], value: str) -> DataFrame:
-    """For each entity and shard the maximum of ``value`` over the entity's earlier shards."""
-    earlier = Window.partitionBy(*ks).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return shards.select(*ks, "shard", F.max(value).over(earlier).alias("carry"))
-
-
-def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join on keys that may be null; the right keys are dropped."""
-    other = right.select(*[F.col(c).alias(f"r_{c}") for c in on], *[c for c in right.columns if c not in on])
-    same: Column = F.lit(True)
-    for c in on:
-        same = same & F.col(c).eqNullSafe(F.col(f"r_{c}"))
-    return left.join(other, same).drop(*[f"r_{c}" for c in on])

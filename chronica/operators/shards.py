@@ -24,15 +24,15 @@ def hot_shard(df: DataFrame, keys: list[str], shard: Column, most_rows: int) ->
 
 
 def running_max(
-    df: DataFrame, keys: list[str], order: list[Column], value: str, out: str, shard: Column, most_rows: int = 500_000
+    df: DataFrame, keys: list[str], order: list[Column], value: str, out: str, shard: Column, most_rows: int = 500_000, before: bool = False
 ) -> DataFrame:
-    """``df`` with the maximum of ``value`` over the rows of its group up to it in ``order``.
+    """``df`` with the maximum of ``value`` over the rows of its group up to it in ``order``, or only before it.
 
     ``shard`` must never fall along ``order``. A value that starts with the time makes this the last
     value so far. Nulls in ``value`` are passed over; null keys form a group.
     """
     cut, any_hot = hot_shard(df, keys, shard, most_rows)
-    upto = (Window.unboundedPreceding, Window.currentRow)
+    upto = (Window.unboundedPreceding, -1 if before else Window.currentRow)
     if not any_hot:
         return df.withColumn(out, F.max(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto)))
     rows = df.withColumn("x_shard", cut)
@@ -46,4 +46,4 @@ def running_max(
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"x_{i}"))
     joined = rows.withColumn("x_own", F.max(value).over(local)).join(carry, same, "left")
-    return joined.select(*df.columns, F.coalesce("x_own", "x_carry").alias(out))
+    return joined.select(*df.columns, F.greatest("x_own", "x_carry").alias(out))
