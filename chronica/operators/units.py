@@ -98,6 +98,8 @@ def decompositions(text: str) -> dict[Canonical, float]:
             for k, root in _ROOT.at(text, j):
                 if k == j or (j > i and root not in PREFIXED and len(root) < 4):
                     continue
+                if root == "M" and text[j:k] != root:
+                    continue  # a small m is a metre or milli, never molar
                 dims, scale = ROOTS[root]
                 if root == "%" and i > 0 and j == i:
                     senses = [(dims, scale), ({"L": -1}, 1)]  # a mass before %: per 100 mL
