@@ -82,9 +82,10 @@ def with_entity(records: DataFrame, entity: Column, links: DataFrame, a: str, b:
     A record whose number is null gets null: it is related to no other.
     """
     found = components(links, a, b).select(F.col("node").alias("e_node"), F.col("component").alias("e_component"))
-    numbered = records.withColumn("e_number", entity)
+    # The record travels as one struct, so that none of its columns can clash.
+    numbered = records.select(F.struct(*[F.col(f"`{c}`") for c in records.columns]).alias("e_record"), entity.alias("e_number"))
     joined = numbered.join(found, F.col("e_number") == F.col("e_node"), "left")
-    return joined.select(*records.columns, F.coalesce("e_component", "e_number").alias(name))
+    return joined.select("e_record.*", F.coalesce("e_component", "e_number").alias(name))
 
 
 def _assign(shapes: list[tuple[list[int], int]], shares: list[float], block: int = 512) -> list[list[tuple[int, int]]]:
