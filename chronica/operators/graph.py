@@ -19,13 +19,15 @@ def junk_reason(entity: Column, rules: list[tuple[str, str]]) -> Column:
 def merge_edges(edges: DataFrame, source: str) -> DataFrame:
     """Equal edges, but for case and blanks, as one: with all sources, how often they were seen, and the least spelling.
 
-    Self-loops and edges with a blank part go. Columns head, relation, tail and ``source``.
+    Self-loops and edges with a blank part go. Columns head, relation, tail and ``source``. Equal
+    writings are counted before they are normalised, so each is normalised once.
     """
-    keyed = edges.select(*[normalised(F.col(c)).alias(f"k_{c}") for c in ("head", "relation", "tail")], "head", "relation", "tail", source)
+    counted = edges.groupBy("head", "relation", "tail", source).agg(F.count(F.lit(1)).alias("n"))
+    keyed = counted.select(*[normalised(F.col(c)).alias(f"k_{c}") for c in ("head", "relation", "tail")], "head", "relation", "tail", source, "n")
     kept = keyed.where("k_head <> k_tail and k_head <> '' and k_tail <> '' and k_relation <> ''")
     return kept.groupBy("k_head", "k_relation", "k_tail").agg(
         F.min("head").alias("head"), F.min("relation").alias("relation"), F.min("tail").alias("tail"),
-        F.sort_array(F.collect_set(source)).alias("sources"), F.count(F.lit(1)).alias("n"),
+        F.sort_array(F.collect_set(source)).alias("sources"), F.sum("n").alias("n"),
     ).drop("k_head", "k_relation", "k_tail")
 
 
@@ -86,3 +88,45 @@ def gate(left: DataFrame, right: DataFrame, key: str, mode: str) -> DataFrame:
     if mode == "both" or (mode == "left_if_right_empty" and b.head(1)):
         return a.join(b, key, "left_semi")
     return a.union(b).distinct() if mode == "either" else a
+
+
+def item_pairs(sets: DataFrame, items: str, themes: list[list[str]]) -> DataFrame:
+    """Unordered pairs (a, b) to search between: items that share a row, and terms of one theme."""
+    first = sets.select(F.array_sort(F.array_distinct(items)).alias("s")).distinct().select("s", F.posexplode("s").alias("i", "a"))
+    shared = first.select("a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
+    inside = [(min(x, y), max(x, y)) for t in themes for i, x in enumerate(t) for y in t[i + 1 :] if x != y]
+    if inside:
+        shared = shared.unionByName(sets.sparkSession.createDataFrame(inside, "a string, b string"))
+    return shared.distinct()
+
+
+def meeting_paths(edges: DataFrame, pairs: DataFrame, length: int = 4, most: int = 20, frontier: int = 10_000) -> DataFrame:
+    """Directed walks between the ends of each pair, found from both ends: (source, target, nodes, relations).
+
+    Each end is walked half the ``length``, in both directions of every edge, an inverse step marked
+    with ``-``; walks that meet are joined. The frontier of a pair and end is bounded by ``frontier``
+    walks, in the order of their nodes, as the walk explodes at hubs; where it never reaches the bound the result
+    is all simple walks of at most ``length`` edges. At most ``most`` per pair, the shortest first.
+    """
+    steps = both_ways(edges).select("a", "b", F.when(F.col("inverse"), F.concat(F.lit("-"), "relation")).otherwise(F.col("relation")).alias("r"))
+
+    def walk(start: str, hops: int) -> DataFrame:
+        now = pairs.select("source", "target").distinct().where("source <> target").select("source", "target", F.array(start).alias("n"), F.array().cast("array<string>").alias("r"))
+        every = now
+        for _ in range(hops):
+            grown = now.withColumn("a", F.element_at("n", -1)).join(steps.withColumnRenamed("r", "step"), "a").where(~F.array_contains("n", F.col("b")))
+            grown = grown.select("source", "target", F.array_append("n", F.col("b")).alias("n"), F.array_append("r", F.col("step")).alias("r"))
+            order = Window.partitionBy("source", "target").orderBy(F.array_join("n", "\u001f"), F.array_join("r", "\u001f"))
+            now = grown.withColumn("w_rn", F.row_number().over(order)).where(F.col("w_rn") <= frontier).drop("w_rn")
+            every = every.unionByName(now)
+        return every
+
+    there = walk("source", length - length // 2).select("source", "target", F.col("n").alias("n1"), F.col("r").alias("r1"), F.element_at("n", -1).alias("m"))
+    back = walk("target", length // 2).select("source", "target", F.col("n").alias("n2"), F.col("r").alias("r2"), F.element_at("n", -1).alias("m"))
+    met = there.join(back, ["source", "target", "m"])
+    turned = F.transform(F.reverse("r2"), lambda x: F.when(x.startswith("-"), F.substring(x, F.lit(2), F.length(x))).otherwise(F.concat(F.lit("-"), x)))
+    nodes = F.concat("n1", F.slice(F.reverse("n2"), 2, F.size("n2")))
+    joined = met.select("source", "target", nodes.alias("nodes"), F.concat("r1", turned).alias("relations"))
+    simple = joined.where(F.size(F.array_distinct("nodes")) == F.size("nodes")).distinct()
+    order = Window.partitionBy("source", "target").orderBy(F.size("nodes"), F.array_join("nodes", "\u001f"), F.array_join("relations", "\u001f"))
+    return simple.withColumn("g_rn", F.row_number().over(order)).where(F.col("g_rn") <= most).drop("g_rn")

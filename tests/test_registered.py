@@ -3,10 +3,10 @@
 import pytest
 from helpers import DATA, rows_of, sql_rows
 
-from chronica.plans import core_queries, event_queries, graph_queries
+from chronica.plans import core_queries, event_queries, graph_queries, record_queries
 
-QUERIES = {k: q for m in (core_queries, event_queries, graph_queries) for k, q in m.queries().items()}
-SQL = {k: q for m in (core_queries, event_queries, graph_queries) for k, q in m.oracle_sql().items()}
+QUERIES = {k: q for m in (core_queries, event_queries, graph_queries, record_queries) for k, q in m.queries().items()}
+SQL = {k: q for m in (core_queries, event_queries, graph_queries, record_queries) for k, q in m.oracle_sql().items()}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
