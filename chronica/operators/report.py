@@ -71,18 +71,26 @@ def binary_scores(rows: DataFrame, predicted: Column, gold: Column) -> DataFrame
     return by.select("tp", "fp", "fn", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-def best_threshold(rows: DataFrame, score: str, gold: Column) -> DataFrame:
+def best_threshold(rows: DataFrame, score: str, gold: Column, shards: int = 64) -> DataFrame:
     """The threshold with the best F1 for ``score >= threshold``, the lowest on ties: (threshold, f1).
 
-    Works on one row per distinct score; the running counts over scores are the only order needed.
+    Works on one row per distinct score. The scores are cut into shards at approximate quantiles, so
+    that the running counts of each shard start from the sums of those above it; where the cuts
+    fall never changes a count. Null scores take no part; without a score there is no row.
     """
     by = rows.where(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.count_if(gold).alias("g"))
-    down = Window.partitionBy(F.lit(1)).orderBy(F.col(score).desc())
-    all_gold = F.sum("g").over(Window.partitionBy(F.lit(1)))
-    cum = by.select(score, F.sum("n").over(down).alias("cn"), F.sum("g").over(down).alias("cg"), all_gold.alias("ag"))
-    f1 = F.when(F.col("cn") + F.col("ag") > 0, 2.0 * F.col("cg") / (F.col("cn") + F.col("ag"))).otherwise(0.0)
-    scored = cum.select(F.col(score).alias("threshold"), f1.alias("f1"))
-    return scored.agg(F.max(F.struct("f1", (-F.col("threshold")).alias("down"))).alias("m")).select((-F.col("m.down")).alias("threshold"), F.col("m.f1").alias("f1"))
+    cuts = sorted(set(by.approxQuantile(score, [k / shards for k in range(1, shards)], 0.01)))
+    above = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > F.col(score))) if cuts else F.lit(0)
+    parts = by.withColumn("shard", above)
+    sums = parts.groupBy("shard").agg(F.sum("n").alias("sn"), F.sum("g").alias("sg"))  # one row per shard
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("shard", F.coalesce(F.sum("sn").over(before), F.lit(0)).alias("bn"), F.coalesce(F.sum("sg").over(before), F.lit(0)).alias("bg"), F.sum("sg").over(Window.partitionBy(F.lit(1))).alias("ag"))
+    down = Window.partitionBy("shard").orderBy(F.col(score).desc())
+    cum = parts.withColumns({"cn": F.sum("n").over(down), "cg": F.sum("g").over(down)}).join(starts, "shard")
+    cn, cg = F.col("cn") + F.col("bn"), F.col("cg") + F.col("bg")
+    scored = cum.select(F.col(score).alias("threshold"), (2.0 * cg / (cn + F.col("ag"))).alias("f1"))
+    best = scored.agg(F.max(F.struct("f1", (-F.col("threshold")).alias("down"))).alias("m")).where("m is not null")
+    return best.select((-F.col("m.down")).alias("threshold"), F.col("m.f1").alias("f1"))
 
 
 def bootstrap_f1(rows: DataFrame, row_id: str, predicted: Column, gold: Column, resamples: int = 2000, seed: int = 5) -> DataFrame:
