@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronica.session import cut
+
 
 def normalised(name: Column) -> Column:
     """A name trimmed, in lower case, with single inner spaces; blank is null."""
@@ -41,15 +43,14 @@ def pair_counts(
     and the items frequent enough, not the number of records.
     """
     whole = baskets(records, record_id, lists)
-    weighted = whole.groupBy("items").agg(F.count(F.lit(1)).alias("w"))
-    n = weighted.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n_records"))
+    # The distinct baskets serve three times, and are what is left of the records.
+    weighted = cut(whole.groupBy("items").agg(F.count(F.lit(1)).alias("w")))
+    total = weighted.agg(F.sum("w")).first()[0] or 0
     single = weighted.select(F.explode("items").alias("item"), "w").groupBy("item").agg(F.sum("w").alias("n"))
-    total = F.broadcast(n)  # one row
     wide = "decimal(38,0)"
-    enough = (F.col("n") >= least_count) & (
-        F.col("n").cast(wide) * 1000 >= F.col("n_records").cast(wide) * least_per_mille
-    )
-    frequent = single.join(total, enough).select("item", "n", "n_records")
+    single = single.withColumn("n_records", F.lit(total).cast("bigint"))
+    enough = (F.col("n") >= least_count) & (F.col("n").cast(wide) * 1000 >= F.col("n_records").cast(wide) * least_per_mille)
+    frequent = single.where(enough)
 
     marked = weighted.where(F.size("items") > 1).withColumn("b", F.md5(F.concat_ws("\u001f", "items")))
     kept = marked.select("b", "w", F.explode("items").alias("item")).join(frequent.select("item"), "item")
