@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIELD = r"[A-Za-z][A-Za-z0-9_]*(?: [A-Za-z][A-Za-z0-9_]*){0,3}"
@@ -147,6 +147,18 @@ _SCAN = re.compile(
 )
 
 
+#: What must stand in a text for any mark of ``_SCAN`` to be found; for the JVM's regular expressions.
+MARKS = (
+    r"(?=[{<\[$@#%«_X&.…(45])(?:[{<\[$@#%«…]|__|XX|&lt;|\.\.\.|\((?i:add|insert|enter|fill)"
+    r"|\b[45][0-9]{2}\b(?=\W{0,4}[A-Za-z])|(?<=[A-Za-z)]\W{1,3})[45][0-9]{2}\b)"
+)
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text in lower case, as an array: every run of letters, also inside marks."""
+    return F.split(F.lower(text), r"[^\p{L}]+")
+
+
 def terms(text: str) -> Iterator[tuple[str, int, int]]:
     """(term, start, end) of a text: words in lower case, slot marks by their kind, codes of errors as one."""
     for m in _SCAN.finditer(text):
@@ -181,6 +193,7 @@ class ResidueIndex:
                     break
                 self.postings.setdefault(t, []).append(i)
                 rest -= weights[t]
+        self.words = sorted(t for t in self.postings if not t.startswith("\u00a7"))
 
     def matches(self, text: str, reach: int = 120) -> bool:
         """Whether a window of the text covers an exemplar enough and its exact check agrees."""
@@ -211,19 +224,25 @@ class ResidueIndex:
 
 
 def document_counts(docs: DataFrame, text: str) -> DataFrame:
-    """In how many texts each term of the exemplars stands: (term, n). Term ``""`` counts all texts."""
+    """In how many texts each term of the exemplars stands: (term, n). Term ``""`` counts all texts.
+
+    Words are counted in the JVM; only texts in which a mark may stand are scanned in Python.
+    """
+    plain = [t for t in VOCABULARY if not t.startswith("\u00a7")]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted, sums = frozenset(VOCABULARY), {}
+        wanted, sums = frozenset(VOCABULARY) - frozenset(plain), {}
         for batch in batches:
             for value in batch["t"]:
-                sums[""] = sums.get("", 0) + 1
                 for t in {t for t, _, _ in terms(value)} & wanted:
                     sums[t] = sums.get(t, 0) + 1
         yield pd.DataFrame({"term": list(sums), "n": list(sums.values())}).astype({"term": object, "n": "int64"})
 
     rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t"))
-    return rows.mapInPandas(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    found = F.concat(F.array(F.lit("")), F.array_intersect(words_of(F.col("t")), F.lit(plain)))
+    words = rows.select(F.explode(found).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    marks = rows.where(F.col("t").rlike(MARKS)).mapInPandas(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return words.unionByName(marks)
 
 
 def residue(docs: DataFrame, doc_id: str, text: str, containment: float = 0.55) -> DataFrame:
@@ -240,10 +259,13 @@ def residue(docs: DataFrame, doc_id: str, text: str, containment: float = 0.55)
     n = counts.get("", 0)
     weights = {t: math.log((n + 1) / (counts.get(t, 0) + 1)) + 0.05 for t in VOCABULARY}
 
+    index = ResidueIndex(weights, containment)
+    # A text without a word of any posting and without a mark can't be met; it doesn't leave the JVM.
+    may = F.col(text).rlike(MARKS) | F.arrays_overlap(words_of(F.col(text)), F.lit(index.words))
+
     @F.pandas_udf("boolean")
     def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = ResidueIndex(weights, containment)
         for batch in batches:
             yield pd.Series([bool(t) and index.matches(t) for t in batch], dtype=bool)
 
-    return docs.select(doc_id, F.coalesce(holds(F.col(text)), F.lit(False)).alias("is_residue"))
+    return docs.select(doc_id, F.coalesce(holds(F.when(may, F.col(text))), F.lit(False)).alias("is_residue"))
