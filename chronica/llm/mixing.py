@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Buckets of the scaled draw of each source; the reached size is exact to one bucket's tokens.
@@ -133,9 +133,9 @@ def mix_report(mixed: DataFrame, source: str, size: str, targets: DataFrame) ->
     by = mixed.groupBy(F.col(source).alias("source")).agg(
         F.sum(size).alias("tokens"), F.count(F.lit(1)).alias("copies"), F.count_if(F.col("copy") == 1).alias("documents"), F.max("copy").alias("repeats_used")
     )
-    total = F.broadcast(by.agg(F.sum("tokens").alias("all_tokens")))  # one row
     want = targets.select("source", "target_share", "max_repeats")
-    reached = by.join(total, F.lit(True)).select("*", (F.col("tokens") / F.col("all_tokens")).alias("share_reached"))
+    every = F.sum("tokens").over(Window.partitionBy(F.lit(1)))  # over one row per source
+    reached = by.withColumn("share_reached", F.col("tokens") / every)
     zero = {"tokens": 0, "copies": 0, "documents": 0, "repeats_used": 0, "share_reached": 0.0}
-    out = want.join(reached.drop("all_tokens"), "source", "left").fillna(zero)
+    out = want.join(reached, "source", "left").fillna(zero)
     return out.select("source", "target_share", "share_reached", "tokens", "documents", "copies", "repeats_used", "max_repeats")
