@@ -16,10 +16,12 @@ def number_of(text: Column) -> Column:
     blanks or commas between digits, surrounding white space and a prefix of letters. A number
     beyond BIGINT gives null.
     """
-    bare = F.regexp_replace(text, r"[\s ]", "")
+    plain = text.try_cast("bigint")  # bare digits need none of the patterns
+    bare = F.regexp_replace(text, r"[\s\u00a0]", "")
     digits = F.regexp_replace(bare, "[^0-9]", "")
     return (
-        F.when(bare.rlike(SCIENTIFIC), bare.try_cast("double").try_cast("decimal(20,0)").try_cast("bigint"))
+        F.when(plain >= 0, plain)
+        .when(bare.rlike(SCIENTIFIC), bare.try_cast("double").try_cast("decimal(20,0)").try_cast("bigint"))
         .when(bare.rlike(DECIMAL_TAIL), F.regexp_extract(bare, DECIMAL_TAIL, 1).try_cast("bigint"))
         .when(digits != "", digits.try_cast("bigint"))
     )
