@@ -61,7 +61,7 @@ def enrich_left(spark: SparkSession, folder: str) -> DataFrame:
 def prefix_backoff(spark: SparkSession, folder: str) -> DataFrame:
     parts = table(spark, folder, "part").select("p_partkey", X.code(F.col("p_brand")).alias("code"))
     lookup = spark.createDataFrame([("BRAND#", "other"), ("BRAND#1", "tens"), ("BRAND#2", "twenties"), ("BRAND#25", "last")], "prefix string, category string")
-    return codes.longest_prefix(parts, "code", lookup, "prefix", "category").select("p_partkey", "category", "prefix_length")
+    return codes.longest_prefix(parts, "code", lookup, "prefix", "category").select("p_partkey", "category", F.col("prefix_length").cast("bigint").alias("prefix_length"))
 
 
 def first_match_class(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,7 +102,7 @@ def _order_sets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cooccurrence_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return sets.companions(_order_sets(spark, folder), 5)
+    return sets.companions(_order_sets(spark, folder), 5).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def distinct_sets(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,7 +113,7 @@ def distinct_sets(spark: SparkSession, folder: str) -> DataFrame:
 def jaccard_knn(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events").select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("id"), "event_type")
     out = sets.nearest_sets(sets.entity_sets(e, ["id"], "event_type"), "id", 3)
-    return out.select("id", "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
+    return out.select("id", "neighbour", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def near_dup_sets(spark: SparkSession, folder: str) -> DataFrame:
@@ -154,7 +154,7 @@ def shortest_paths_3hop(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def path_triples(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.triples_along(_paths(spark, folder), _edges(spark, folder)).groupBy("head", "relation", "tail").agg(F.count(F.lit(1)).alias("n"), F.min("hop").alias("least_hop"))
+    return graph.triples_along(_paths(spark, folder), _edges(spark, folder)).groupBy("head", "relation", "tail").agg(F.count(F.lit(1)).alias("n"), F.min("hop").cast("bigint").alias("least_hop"))
 
 
 def path_score_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -200,7 +200,7 @@ def term_links(spark: SparkSession, folder: str) -> DataFrame:
 def cosine_search(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "embeddings").select("vec_id", "embedding")
     out = vectors.search(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 5)
-    return out.select("query", "row", F.round("cosine", 6).alias("cosine"), "rank")
+    return out.select("query", "row", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def mmr_select(spark: SparkSession, folder: str) -> DataFrame:

@@ -24,7 +24,7 @@ def visit_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def visits_with_enough(spark: SparkSession, folder: str) -> DataFrame:
     out = profiles.with_enough(visit_items(spark, folder), "hadm_id", 2)
-    return out.select("hadm_id", *[F.size(c).alias(f"n_{c}") for c in ("conditions", "procedures", "drugs")])
+    return out.select("hadm_id", *[F.size(c).cast("bigint").alias(f"n_{c}") for c in ("conditions", "procedures", "drugs")])
 
 
 def index_visit_cut(spark: SparkSession, folder: str) -> DataFrame:
