@@ -55,7 +55,7 @@ ALLOW = r"(?:enabl|turn(?:ed)? on|switch(?:ed)? on|activat|allow|permit|requir|n
 OFF = r"(?:is|are|seems?|appears?)(?: to be)? (?:off|disabled|blocked|turned off|switched off|not enabled|deactivated)|(?:does not|doesn't|do not|cannot) (?:support|run)"
 #: A demand to allow scripts or cookies; the plain noun script (a prescription) is none.
 DEMANDS = "|".join([
-    rf"(?i:\b{ALLOW}[^.!?\n]{{0,60}}\b{WHAT}\b)", rf"(?i:\b{WHAT}\b[^.!?\n]{{0,60}}(?:\b{ALLOW}|{OFF}))", rf"(?i:{OFF}[^.!?\n]{{0,40}}\b{WHAT}\b)",
+    rf"(?i:\b{ALLOW}[^.!?\n]{{0,60}}\b{WHAT}\b)", rf"(?i:\b{WHAT}\b[^.!?\n]{{0,60}}(?:\b{ALLOW}|{OFF}))", rf"(?i:(?:{OFF})[^.!?\n]{{0,40}}\b{WHAT}\b)",
 ])
 
 REASON = r"(?:not found|page not found|forbidden|bad gateway|gateway time-?out|internal (?:server )?error|service (?:temporarily )?unavailable|unauthori[sz]ed|bad request|gone|request time-?out|too many requests|access denied|method not allowed|server error)"
@@ -100,7 +100,7 @@ CHECKS = {k: re.compile(v, re.M) for k, v in {"slot": "|".join([*SLOTS.values(),
 
 #: An order to write something, left standing where the writing should be.
 VERBS = ("insert", "add", "type", "write", "put", "paste", "enter", "place")
-THINGS = ("content", "text", "abstract", "caption", "summary", "title", "heading", "body copy", "description", "advice")
+THINGS = ("content", "text", "abstract", "caption", "summary", "title", "heading", "body", "copy", "description", "details", "advice")
 #: Labelled exemplars of residue.
 EXEMPLARS = [
     *[("slot", s) for s in (
@@ -136,7 +136,13 @@ EXEMPLARS = [
         "Veuillez activer JavaScript pour afficher cette page.", "Ce site nécessite l'activation des scripts.", "Active JavaScript para ver esta página.", "Este sitio necesita que los scripts estén habilitados.",
         "Please accept cookies", "cookies are blocked",
     )],
+    # The words no demand can do without, each set as an exemplar of its own:
+    # a window with a match covers it whole, so the check is called whatever the weights are.
+    *[("demand", s) for s in ("JavaScript", "scripts", "scripting", "cookies", "Skripte", "active content", "client-side script")],
 ]
+#: Words of filler that are everyday words too, so common that texts are not scanned for them alone.
+EVERYDAY = ("et", "do")
+FILLER_RUN = 4
 
 #: Words come first, as most of a text is words; the marks are tried only where one of their first characters stands.
 _SCAN = re.compile(
@@ -150,9 +156,12 @@ _SCAN = re.compile(
 #: What must stand in a text for any mark of ``_SCAN`` to be found; for the JVM's regular expressions.
 MARKS = (
     r"(?=[{<\[$@#%«_X&.…(45])(?:[{<\[$@#%«…]|__|XX|&lt;|\.\.\.|\((?i:add|insert|enter|fill)"
-    r"|\b[45][0-9]{2}\b(?=\W{0,4}[A-Za-z])|(?<=[A-Za-z)]\W{1,3})[45][0-9]{2}\b)"
+    r"|\b[45][0-9]{2}\b(?=\W{0,4}[A-Za-z])|(?<=[A-Za-z)]\W{0,3})[45][0-9]{2}\b)"
 )
 
+#: A run of everyday filler words, for which no text leaves the JVM otherwise.
+EVERYDAY_RUN = rf"\b(?:{'|'.join(EVERYDAY)})\b(?:[\s,.;]+(?:{'|'.join(EVERYDAY)})\b){{{FILLER_RUN - 1}}}"
+
 
 def words_of(text: Column) -> Column:
     """The words of a text in lower case, as an array: every run of letters, also inside marks."""
@@ -168,6 +177,7 @@ def terms(text: str) -> Iterator[tuple[str, int, int]]:
 
 #: Words that stand inside a slot mark are read as part of it; words of an exemplar count once.
 VOCABULARY = sorted({t for _, text in EXEMPLARS for t, _, _ in terms(text)})
+FILLER_WORDS = frozenset(LATIN.split())
 
 
 class ResidueIndex:
@@ -185,7 +195,7 @@ class ResidueIndex:
             else:
                 bag_need = total * containment
             i = len(self.exemplars)
-            self.exemplars.append((family, bag, bag_need, max(4, 2 * len(bag))))
+            self.exemplars.append((family, bag, bag_need, max(8, 2 * len(bag))))
             rest = total
             # Without one of these terms the rest cannot reach the containment.
             for t in sorted(bag, key=lambda t: (-weights[t], t)):
@@ -193,14 +203,19 @@ class ResidueIndex:
                     break
                 self.postings.setdefault(t, []).append(i)
                 rest -= weights[t]
-        self.words = sorted(t for t in self.postings if not t.startswith("\u00a7"))
+        self.words = sorted({t for t in self.postings if not t.startswith("\u00a7")} | FILLER_WORDS.difference(EVERYDAY))
 
     def matches(self, text: str, reach: int = 120) -> bool:
         """Whether a window of the text covers an exemplar enough and its exact check agrees."""
         stream = list(terms(text))
         known = [(k, t) for k, (t, _, _) in enumerate(stream) if t in self.weights]
         tried: set[tuple[str, int]] = set()
+        run, last = 0, -2
         for n, (k, t) in enumerate(known):
+            if t in FILLER_WORDS:
+                run, last = (run + 1 if k == last + 1 else 1), k
+                if run >= FILLER_RUN and self.agrees("filler", text, stream[k], reach):
+                    return True
             for i in self.postings.get(t, ()):
                 family, bag, need, width = self.exemplars[i]
                 if (family, k) in tried:
@@ -215,13 +230,17 @@ class ResidueIndex:
                 if sum(self.weights[x] for x in found) < need:
                     continue
                 tried.add((family, k))
-                at = stream[k]
-                low, high = max(0, at[1] - reach), at[2] + reach
-                for m in CHECKS[family].finditer(text, low, min(len(text), high)):
-                    if m.end() > m.start():
-                        return True
+                if self.agrees(family, text, stream[k], reach):
+                    return True
         return False
 
+    @staticmethod
+    def agrees(family: str, text: str, at: tuple[str, int, int], reach: int) -> bool:
+        """Whether the family's exact check finds something around the term ``at``."""
+        low, high = max(0, at[1] - reach), min(len(text), at[2] + reach)
+        # What ends at the window's end is looked at again in the whole text.
+        return any(m.end() > m.start() and (m.end() < high or CHECKS[family].match(text, m.start())) for m in CHECKS[family].finditer(text, low, high))
+
 
 def document_counts(docs: DataFrame, text: str) -> DataFrame:
     """In how many texts each term of the exemplars stands: (term, n). Term ``""`` counts all texts.
@@ -251,7 +270,7 @@ def residue(docs: DataFrame, doc_id: str, text: str, containment: float = 0.55)
     The labelled exemplars lie under an inverted index by their rarest terms, weighted by inverse
     document frequency over all texts. Wherever such a term stands, the window around it is compared:
     if it covers ``containment`` of an exemplar's weight, an exact check of the exemplar's family
-    decides there. Whole texts are read. Null and blank texts hold none; repeated texts and ids give
+    decides there. Every demand has an exemplar of the words it cannot do without. Whole texts are read. Null and blank texts hold none; repeated texts and ids give
     repeated rows; an empty table gives an empty table. What goes to the driver are the counts of
     the exemplars' terms, a few hundred at any size; nothing is shuffled but those.
     """
@@ -261,7 +280,7 @@ def residue(docs: DataFrame, doc_id: str, text: str, containment: float = 0.55)
 
     index = ResidueIndex(weights, containment)
     # A text without a word of any posting and without a mark can't be met; it doesn't leave the JVM.
-    may = F.col(text).rlike(MARKS) | F.arrays_overlap(words_of(F.col(text)), F.lit(index.words))
+    may = F.lower(text).rlike(EVERYDAY_RUN) | F.col(text).rlike(MARKS) | F.arrays_overlap(words_of(F.col(text)), F.lit(index.words))
 
     @F.pandas_udf("boolean")
     def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

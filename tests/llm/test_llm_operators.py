@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -194,6 +195,24 @@ def test_the_index_loses_nothing_the_checks_find(spark):
     assert [got[n] for n in range(len(texts))] == plain
 
 
+def test_the_index_equals_the_checks_on_all_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").repartition(16)
+
+    @F.pandas_udf("boolean")
+    def plain(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(t) and any(m.end() > m.start() for c in residue.CHECKS.values() for m in c.finditer(t)) for t in texts], dtype=bool)
+
+    want = {r["doc_id"] for r in docs.where(plain("text")).collect()}
+    got = {r["doc_id"] for r in residue.residue(docs, "doc_id", "text").where("is_residue").collect()}
+    assert want and got == want
+
+
+def test_scripts_beside_something_off_are_no_demand(spark):
+    texts = ["Two scripts were sent. The drip is off.", "The pump alarm is blocked; cookies were eaten."]
+    df = spark.createDataFrame(list(enumerate([*texts, *(f"Furosemide {n} mg was given." for n in range(300))])), "id int, text string")
+    assert residue.residue(df, "id", "text").where("is_residue").count() == 0
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([("Furosemide 40 mg",), ("",), (None,), ("<|endoftext|>",), ("a" * 20000,)], "t string")
     out = [r[0] for r in df.select(token_count("t")).collect()]
