@@ -101,6 +101,12 @@ CHECKS = {k: re.compile(v, re.M) for k, v in {"slot": "|".join([*SLOTS.values(),
 #: An order to write something, left standing where the writing should be.
 VERBS = ("insert", "add", "type", "write", "put", "paste", "enter", "place")
 THINGS = ("content", "text", "abstract", "caption", "summary", "title", "heading", "body", "copy", "description", "details", "advice")
+VOID_WORDS = ("undefined", "null", "NaN", "None", "NoneType")
+UNIT_WORDS = ("mg", "kg", "g", "mcg", "µg", "ml", "L", "mmol", "mEq", "mmHg", "cm", "m", "h", "hour", "hours", "day", "days", "week", "weeks", "minute", "minutes", "min", "percent", "per", "Stunden", "heures", "horas")
+REASONS = (
+    "not found", "forbidden", "bad gateway", "gateway timeout", "gateway time-out", "internal error", "internal server error", "service unavailable", "unauthorized", "unauthorised",
+    "bad request", "gone", "request timeout", "request time-out", "too many requests", "access denied", "method not allowed", "server error",
+)
 #: Labelled exemplars of residue.
 EXEMPLARS = [
     *[("slot", s) for s in (
@@ -136,8 +142,24 @@ EXEMPLARS = [
         "Veuillez activer JavaScript pour afficher cette page.", "Ce site nécessite l'activation des scripts.", "Active JavaScript para ver esta página.", "Este sitio necesita que los scripts estén habilitados.",
         "Please accept cookies", "cookies are blocked",
     )],
-    # The words no demand can do without, each set as an exemplar of its own:
+    # The words no match of an alternative of the exact checks can do without, each set as an exemplar of its own:
     # a window with a match covers it whole, so the check is called whatever the weights are.
+    *[("slot", s) for s in ("{0}", " ____", "#REF!", *VOID_WORDS, *(v + u for v in VOID_WORDS for u in UNIT_WORDS))],
+    *[("filler", f"{kind} {thing}") for kind in ("sample", "dummy", "filler", "placeholder", "your", "body") for thing in ("text", "copy", "title", "heading", "content")],
+    *[("filler", s) for s in (
+        "replace this paragraph", "replace this text", "intentionally left blank", "coming soon", "TODO", "Blindtext", "Blindtexte", "Blindtextes", "Blindtexten", "Platzhaltertext", "Platzhaltertexte",
+        "Platzhaltertextes", "Platzhaltertexten", "Inhalt folgt", "steht noch", "steht Ihr", "texte de remplissage", "contenu à venir", "votre titre ici", "votre texte ici", "contenido próximamente",
+        "texto de relleno", "escriba aquí su texto", "su título aquí", "su texto aquí", "test", "asdf", "qwer", "qwerty", "jkl", "xx", "xxx", "xxxx",
+    )],
+    *[("message", f"404 {reason}") for reason in REASONS],
+    *[("message", f"{word} 404") for word in ("error", "Fehler", "Erreur", "HTTP", "status")],
+    *[("message", s) for s in (
+        "requested", "you are looking for", "you were looking for", "angeforderte Seite wurde nicht gefunden", "page demandée est introuvable", "página solicitada", "that page cant be found",
+        "page cannot be", "page could not be", "page can't be", "something went wrong on our end", "unexpected error occurred", "your session has expired", "your session has timed out",
+        "Sitzung ist abgelaufen", "session a expiré", "sesión ha caducado", "sesión ha expirado", "failed to load", "been moved or deleted", "Fatal error", "Uncaught TypeError", "Uncaught ReferenceError",
+        "call to undefined function", "Stack trace", "server is undergoing maintenance", "site is down maintenance", "site is under maintenance", "permission to view this", "permission to access this",
+        "address may have been mistyped", "try again later", "sign in again to continue", "bitte neu anmelden", "veuillez vous reconnecter", "inicie sesión de nuevo",
+    )],
     *[("demand", s) for s in ("JavaScript", "scripts", "scripting", "cookies", "Skripte", "active content", "client-side script")],
 ]
 #: Words of filler that are everyday words too, so common that texts are not scanned for them alone.
@@ -148,7 +170,7 @@ FILLER_RUN = 4
 _SCAN = re.compile(
     r"(?!XX)(?P<word>[^\W\d_]+)|(?=[{<\[(&_X%#$@«.…45])(?:"
     + "|".join(f"(?P<{name}>{pattern})" for name, pattern in SLOTS.items())
-    + r"|(?P<code>\b[45][0-9]{2}\b)|(?P<dots>\.\.\.|…)|(?P<rest>[^\W\d_]+))",
+    + r"|(?P<sheet>#(?:REF!|N/A|VALUE!|NAME\?|DIV/0!))|(?P<code>(?:\b|(?i:(?<=error)|(?<=fehler)|(?<=erreur)|(?<=http)|(?<=status)))[45][0-9]{2}\b)|(?P<dots>\.\.\.|…)|(?P<rest>[^\W\d_]+))",
     re.M,
 )
 
@@ -270,7 +292,9 @@ def residue(docs: DataFrame, doc_id: str, text: str, containment: float = 0.55)
     The labelled exemplars lie under an inverted index by their rarest terms, weighted by inverse
     document frequency over all texts. Wherever such a term stands, the window around it is compared:
     if it covers ``containment`` of an exemplar's weight, an exact check of the exemplar's family
-    decides there. Every demand has an exemplar of the words it cannot do without. Whole texts are read. Null and blank texts hold none; repeated texts and ids give
+    decides there. Every alternative of the checks has an exemplar of the words it cannot do
+    without, so the index finds what the checks alone would find; but a word said three times
+    counts as filler only near an exemplar's word, else any stammer would. Whole texts are read. Null and blank texts hold none; repeated texts and ids give
     repeated rows; an empty table gives an empty table. What goes to the driver are the counts of
     the exemplars' terms, a few hundred at any size; nothing is shuffled but those.
     """

@@ -1,6 +1,7 @@
 """Operators for training data against brute force, with nulls, ties, repeats, hot groups and empty tables."""
 
 import random
+import re
 from collections import Counter
 from itertools import combinations
 
@@ -207,6 +208,69 @@ def test_the_index_equals_the_checks_on_all_texts(spark):
     assert want and got == want
 
 
+def samples(pattern):
+    """Texts that a regular expression matches: together they take every branch of every alternation."""
+
+    def of(tree):
+        out = [""]
+        for op, arg in tree:
+            name = str(op)
+            if name == "LITERAL":
+                some = [chr(arg)]
+            elif name == "BRANCH":
+                some = [x for b in arg[1] for x in of(b)]
+            elif name == "SUBPATTERN":
+                some = of(arg[3])
+                groups[arg[0]] = some[0]
+            elif name in ("MAX_REPEAT", "POSSESSIVE_REPEAT", "MIN_REPEAT"):
+                some = [x * n for n in ({max(arg[0], 1)} if arg[1] > 9 else {arg[0], max(arg[0], 1)}) for x in of(arg[2])]
+            elif name == "IN":
+                some = [next(c for c in " a5.bx[<*-:–" + "".join(map(chr, range(33, 256))) if re.match(one_of(arg), c))]
+            elif name == "GROUPREF":
+                some = [groups[arg]]
+            elif name == "NOT_LITERAL":
+                some = ["a"]
+            else:
+                some = [""]  # assertions
+            n = max(len(out), len(some))
+            out = [out[k % len(out)] + some[k % len(some)] for k in range(n)] if len(out) > 1 and len(some) > 1 else [a + b for a in out for b in some]
+        return out
+
+    def one_of(items):
+        kinds = {"CATEGORY_WORD": r"\w", "CATEGORY_SPACE": r"\s", "CATEGORY_NOT_WORD": r"\W", "CATEGORY_DIGIT": r"\d", "CATEGORY_NOT_SPACE": r"\S"}
+        parts = []
+        for op, arg in items:
+            parts.append({"NEGATE": lambda: "^", "LITERAL": lambda: re.escape(chr(arg)), "RANGE": lambda: f"{re.escape(chr(arg[0]))}-{re.escape(chr(arg[1]))}", "CATEGORY": lambda: kinds[str(arg)]}[str(op)]())
+        return "[" + "".join(parts) + "]"
+
+    groups = {}
+    return of(re._parser.parse(pattern, re.M))
+
+
+def test_every_alternative_of_the_checks_is_reached(spark):
+    rng = random.Random(11)
+    texts = []
+    for family, check in residue.CHECKS.items():
+        for s in samples(check.pattern):
+            text = f"The dose was held.\n{s}\nUrine was clear."
+            if check.search(text) and not re.search(r"\b(\w+) \1 \1\b", s):  # a stammer alone is none
+                texts.append((family, s, text))
+    assert {f for f, *_ in texts} == set(residue.CHECKS) and len(texts) > 300
+    for _ in range(3):  # whatever the weights are
+        index = residue.ResidueIndex({t: rng.choice([0.05, 1.0, 9.0]) for t in residue.VOCABULARY}, 0.55)
+        assert [s for _, s, t in texts if not index.matches(t)] == []
+    df = spark.createDataFrame([(n, t) for n, (*_, t) in enumerate(texts)], "id int, text string")
+    kept = {r["id"] for r in residue.residue(df, "id", "text").where("not is_residue").collect()}
+    assert [texts[n][1] for n in sorted(kept)] == []
+
+
+def test_spreadsheet_errors_bare_marks_and_runs(spark):
+    texts = ["Weight #REF! kg.", "Dose: #N/A", "#VALUE! noted", "#NAME? noted", "#DIV/0! noted", "Route: NoneType.", "TODO", "et, et, et, et", "sed magna sed magna", "Error404: gone"]
+    df = spark.createDataFrame(list(enumerate([*texts, *(f"Furosemide {n} mg was given." for n in range(300))])), "id int, text string")
+    got = {r["id"] for r in residue.residue(df, "id", "text").where("is_residue").collect()}
+    assert got == set(range(len(texts)))
+
+
 def test_scripts_beside_something_off_are_no_demand(spark):
     texts = ["Two scripts were sent. The drip is off.", "The pump alarm is blocked; cookies were eaten."]
     df = spark.createDataFrame(list(enumerate([*texts, *(f"Furosemide {n} mg was given." for n in range(300))])), "id int, text string")
