@@ -50,6 +50,11 @@ def p3_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return cooccurrence.pair_counts(table(spark, folder, "visits"), "hadm_id", LISTS)
 
 
+def p3_every_pair(spark: SparkSession, folder: str) -> DataFrame:
+    """All item pairs that share a visit, however rare, with lift and conviction."""
+    return cooccurrence.pair_counts(table(spark, folder, "visits"), "hadm_id", LISTS, 1)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Item pairs that share enough visits and at least three times as many as by chance."""
     pairs = cooccurrence.pair_counts(table(spark, folder, "visits"), "hadm_id", LISTS, 5, 1)
@@ -163,7 +168,7 @@ def p10_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        "p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p3_found": p3_found, "p3_pairs": p3_pairs,
+        "p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p3_found": p3_found, "p3_pairs": p3_pairs, "p3_every_pair": p3_every_pair,
         "p4_found": p4_found, "p7_found": p7_found, "p7_known": p7_known, "p8_pack": p8_pack, "p8_fill": p8_fill,
         "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_kept": p10_kept,
     }

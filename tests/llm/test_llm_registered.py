@@ -16,6 +16,15 @@ def test_query(spark, name):
         assert df.columns and df.count() >= 0
 
 
+def test_every_pair_comes_out(spark):
+    """The SQL of p3_pairs without its floor."""
+    whole = sql.P3_PAIRS.replace("HAVING count(*) >= 5", "")
+    assert whole != sql.P3_PAIRS
+    got = rows_of(Q.queries()["p3_every_pair"](spark, DATA))
+    assert got == sql_rows(whole)
+    assert sum(got[1].values()) > Q.p3_pairs(spark, DATA).count()
+
+
 def test_splits_keep_persons_together(spark):
     rows = Q.p1_splits(spark, DATA).collect()
     by = {}
