@@ -135,7 +135,7 @@ def split_by_entity(
     and so is each of several. Splits get their shares of each stratum as nearly as the sizes of
     the entities allow. ``strata`` names the strata that count; other values and nulls form one
     more. Shares are scaled to a sum of one. Repeated records of one ``record_id`` count once
-    each and stay together. An empty table gives an empty table.
+    each and stay together, and so do records with neither an entity nor an id. An empty table gives an empty table.
 
     Entities are reduced to their counts by stratum, and entities with equal counts to one class:
     the greedy pass runs over classes, largest first. Their number is bounded by the number of
@@ -146,7 +146,7 @@ def split_by_entity(
     spark = records.sparkSession
     total = sum(share for _, share in targets)
     names, shares = [n for n, _ in targets], [share / total for _, share in targets]
-    key = F.coalesce(F.concat(F.lit("e"), F.col(entity).cast("string")), F.concat(F.lit("r"), F.col(record_id).cast("string")))
+    key = F.coalesce(F.concat(F.lit("e"), F.col(entity).cast("string")), F.concat(F.lit("r"), F.col(record_id).cast("string")), F.lit(""))
     rows = records.select(record_id, entity, stratum, key.alias("g_key"))
     counts = [F.count_if(F.col(stratum) == s).alias(f"c{i}") for i, s in enumerate(strata)]
     other = F.count_if(~F.coalesce(F.col(stratum).isin(strata), F.lit(False))).alias(f"c{len(strata)}")

@@ -61,6 +61,12 @@ def test_splits(spark):
     assert splits.split_by_entity(df.where("false"), "id", "e", "s", ["a"], [("train", 1.0)]).count() == 0
 
 
+def test_splits_keep_records_without_any_id(spark):
+    df = spark.createDataFrame([("r1", 1, "a"), ("r2", None, "a"), (None, None, "a"), (None, None, "b"), (None, 1, None)], "id string, e bigint, s string")
+    out = splits.split_by_entity(df, "id", "e", "s", ["a", "b"], [("train", 0.5), ("test", 0.5)]).collect()
+    assert len(out) == 5 and all(r["split"] for r in out)
+
+
 def test_pairs(spark):
     rng = random.Random(7)
     names = [f"Item  {n}" for n in range(12)]
