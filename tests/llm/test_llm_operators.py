@@ -278,7 +278,7 @@ def test_spreadsheet_errors_bare_marks_and_runs(spark):
 
 
 def test_scripts_beside_something_off_are_no_demand(spark):
-    texts = ["Two scripts were sent. The drip is off.", "The pump alarm is blocked; cookies were eaten."]
+    texts = ["Two scripts were sent. The drip is off.", "The pump alarm is blocked. Cookies were eaten."]
     df = spark.createDataFrame(list(enumerate([*texts, *(f"Furosemide {n} mg was given." for n in range(300))])), "id int, text string")
     assert residue.residue(df, "id", "text").where("is_residue").count() == 0
 
