@@ -54,7 +54,7 @@ def overlaps_before(start: Column, end: Column, at: Column, hours: float) -> Col
 
 def value_as_of(
     points: DataFrame, rows: DataFrame, key: str, point_time: str, row_time: str, value: str, tie: str,
-    strict: bool = False, offset_hours: float = 0.0, shard_hours: float = 24.0 * 7, most_rows: int = 500_000,
+    strict: bool = False, offset_hours: float = 0.0, shard_hours: float = 1 / 60, most_rows: int = 500_000,
 ) -> DataFrame:
     """Each point with the last non-null ``value`` of its key at or before the point's time plus an offset.
 
