@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,43 +13,55 @@ from chronica.operators.ranks import sharded_rank
 from chronica.session import cut
 
 
-def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union-find over the edges of one partition; gives each node with the least node of its tree."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        top = x
-        while parent[top] != top:
-            top = parent[top]
-        while parent[x] != top:
-            parent[x], x = top, parent[x]
-        return top
-
-    for batch in batches:
-        for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
-            parent.setdefault(a, a)
-            parent.setdefault(b, b)
-            ra, rb = root(a), root(b)
-            if ra != rb:
-                parent[max(ra, rb)] = min(ra, rb)
-    nodes = list(parent)
-    for i in range(0, len(nodes), 10_000):
-        some = nodes[i : i + 10_000]
-        yield pd.DataFrame({"node": some, "root": [root(x) for x in some]})
-
-
-def components(edges: DataFrame, a: str, b: str, edges_per_task: int = 1_000_000) -> DataFrame:
+def _forest():
+    """Union-find over the edges of one partition; gives each node with the root of its tree, the least by a salted hash."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while parent[top] != top:
+                top = parent[top]
+            while parent[x] != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        place: dict[int, int] = {}
+        for batch in batches:
+            for a, b, pa, pb in zip(*(batch[c].tolist() for c in ("a", "b", "pa", "pb"))):
+                if a not in parent:
+                    parent[a], place[a] = a, pa
+                if b not in parent:
+                    parent[b], place[b] = b, pb
+                ra, rb = root(a), root(b)
+                if ra != rb:
+                    if (place[rb], rb) < (place[ra], ra):
+                        ra, rb = rb, ra
+                    parent[rb] = ra
+        nodes = list(parent)
+        for i in range(0, len(nodes), 10_000):
+            roots = [root(x) for x in nodes[i : i + 10_000]]
+            yield pd.DataFrame({"node": nodes[i : i + 10_000], "root": roots, "place": [place[r] for r in roots]})
+
+    return run
+
+
+def components(edges: DataFrame, a: str, b: str, edges_per_task: int = 1_000_000, levels: list[int] | None = None) -> DataFrame:
     """Each node of a graph with the least node of its connected component: (node, component).
 
     ``a`` and ``b`` are BIGINT. Edges with a null end and loops are left out; repeats change
-    nothing. Nodes without edges don't appear. No edges give an empty table.
+    nothing. Nodes without edges don't appear. No edges give an empty table. ``levels``, if given, takes the
+    number of edges of each level.
 
     Distributed union-find: the edges are spread over tasks by a hash of both ends, so a node with
     very many edges is shared out, and each task builds a forest of its own edges. Forests are
     merged level by level: a node that stands in several forests ties their roots together, and
-    those ties are the edges of the next level, whose nodes are roots only. The graph at least
-    halves with every level until no node is shared; no task and no level ever holds the forests
-    of all. The driver sees one count per level.
+    those ties are the edges of the next level, whose nodes are roots only. The root of a tree is
+    its least node by a hash that is salted anew at each level, so whatever order the ids have, a node with
+    neighbours stays a root with a chance of a third at most along a chain, and the edges shrink by a constant share a level: the levels
+    grow with the logarithm of the number of tasks. Once the edges fit one task one more level ends it. No
+    task and no level ever holds the forests of all. The driver sees one count per level.
     """
     spark = edges.sparkSession
     ends = edges.select(F.col(a).cast("bigint").alias("x"), F.col(b).cast("bigint").alias("y"))
@@ -59,21 +72,29 @@ def components(edges: DataFrame, a: str, b: str, edges_per_task: int = 1_000_000
     )
     forests: list[DataFrame] = []
     while n := level.count():
-        tasks = -(-n // edges_per_task)
-        trees = level.repartition(tasks, F.xxhash64("a", "b")).mapInPandas(_forest, "node bigint, root bigint")
-        trees = cut(trees)
-        least = trees.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("other"))
-        forests.append(least.select("node", "root"))
-        shared = least.where("root <> other").select("node", F.col("root").alias("least"))
+        salt, tasks = len(forests), -(-n // edges_per_task)
+        if levels is not None:
+            levels.append(n)
+        placed = level.select("a", "b", *[F.xxhash64(F.lit(salt), c).alias(f"p{c}") for c in ("a", "b")])
+        trees = cut(placed.repartition(tasks, F.xxhash64("a", "b")).mapInPandas(_forest(), "node bigint, root bigint, place bigint"))
+        best = F.struct("place", "root")
+        least = trees.groupBy("node").agg(F.min(best).alias("m"), F.max(best).alias("o"))
+        forests.append(least.select("node", F.col("m.root").alias("root")))
+        if tasks == 1:
+            break
+        shared = least.where("m <> o").select("node", F.col("m.root").alias("least"))
         ties = trees.join(shared, "node").where("root <> least")
         level = cut(ties.select(F.least("root", "least").alias("a"), F.greatest("root", "least").alias("b")).distinct())
     if not forests:
         return spark.createDataFrame([], "node bigint, component bigint")
-    out = forests[-1].select("node", F.col("root").alias("component"))
-    for lower in reversed(forests[:-1]):
-        higher = out.select(F.col("node").alias("root"), "component")
-        out = lower.join(higher, "root", "left").select("node", F.coalesce("component", "root").alias("component"))
-    return out
+    out = forests[-1].select("node", F.col("root").alias("top"))
+    for n, lower in enumerate(reversed(forests[:-1])):
+        higher = out.select(F.col("node").alias("root"), "top")
+        out = lower.join(higher, "root", "left").select("node", F.coalesce("top", "root").alias("top"))
+        if n % 4 == 3:  # the plan stays short
+            out = cut(out)
+    names = out.groupBy("top").agg(F.min("node").alias("component"))
+    return out.join(names, "top").select("node", "component")
 
 
 def with_entity(records: DataFrame, entity: Column, links: DataFrame, a: str, b: str, name: str = "entity") -> DataFrame:
@@ -88,41 +109,41 @@ def with_entity(records: DataFrame, entity: Column, links: DataFrame, a: str, b:
     return joined.select("e_record.*", F.coalesce("e_component", "e_number").alias(name))
 
 
-def _assign(shapes: list[tuple[list[int], int]], shares: list[float], block: int = 512) -> list[list[tuple[int, int]]]:
-    """Greedy largest-first over classes of equal groups: for each class (split, how many) runs.
+def _assign(shapes: list[tuple[list[int], int]], shares: list[float]) -> list[list[int]]:
+    """Greedy largest-first over classes of equal groups: for each class how many go to each split.
 
     A group of counts c goes to the split whose need, the sum over strata of c times the part of
-    the stratum's target still missing, is largest. The groups of a class are equal, so long runs
-    of them are given out in blocks in proportion to the needs, and the last ``block`` one by one.
+    the stratum's target still missing, is largest, the earlier one on ties. Every group of a class that a split takes lowers its
+    need by the same step, so the n groups of a class go where the n largest terms of as many arithmetic
+    sequences as there are splits stand. Those above a common water level are counted at once and the few left, at most one a split, are
+    given one by one: the result is that of giving out every single group in turn. Needs are exact fractions.
     """
     strata = range(len(shapes[0][0])) if shapes else []
     total = [sum(c[s] * n for c, n in shapes) for s in strata]
-    have = [[0.0] * len(total) for _ in shares]
+    want = [Fraction(x).limit_denominator(10**9) for x in shares]
+    want = [x / sum(want) for x in want]
+    have = [[0] * len(total) for _ in shares]
     out = []
-
-    def need(k: int, c: list[int]) -> float:
-        return sum(c[s] * (shares[k] * total[s] - have[k][s]) / total[s] for s in strata if total[s])
-
     for c, n in shapes:
-        runs: list[tuple[int, int]] = []
-        left = n
-        if left > block:
-            needs = [max(0.0, need(k, c)) for k in range(len(shares))]
-            for k, x in enumerate(needs):
-                m = int((left - block) * x / (sum(needs) or 1.0))
-                runs.append((k, m))
-                for s in strata:
-                    have[k][s] += c[s] * m
-            left -= sum(m for _, m in runs)
-        for _ in range(left):
-            k = max(range(len(shares)), key=lambda j: (need(j, c), -j))
-            for s in strata:
-                have[k][s] += c[s]
-            if runs and runs[-1][0] == k:
-                runs[-1] = (k, runs[-1][1] + 1)
-            else:
-                runs.append((k, 1))
-        out.append(runs)
+        live = [s for s in strata if c[s]]
+        step = sum(Fraction(c[s] * c[s], total[s]) for s in live)
+        needs = [sum(c[s] * (w - Fraction(h[s], total[s])) for s in live) for w, h in zip(want, have)]
+        given = [0] * len(shares)
+        if n > len(shares) and step:
+            # The level at which the terms above it, counted as real numbers, are n.
+            ranked, upto = sorted(needs, reverse=True), Fraction(0)
+            for k in range(1, len(ranked) + 1):
+                upto += ranked[k - 1]
+                level = (upto - n * step) / k
+                if k == len(ranked) or level >= ranked[k]:
+                    break
+            given = [max(0, int((x - level) // step)) for x in needs]
+        for _ in range(n - sum(given)):
+            given[max(range(len(shares)), key=lambda j: (needs[j] - given[j] * step, -j))] += 1
+        for k, m in enumerate(given):
+            for s in live:
+                have[k][s] += c[s] * m
+        out.append(given)
     return out
 
 
@@ -140,7 +161,8 @@ def split_by_entity(
     Entities are reduced to their counts by stratum, and entities with equal counts to one class:
     the greedy pass runs over classes, largest first. Their number is bounded by the number of
     different count vectors, not by the number of entities (an entity of k records needs k rows,
-    so at most rows/k are that large). Entities are numbered inside their class by shards of a
+    so at most rows/k are that large). What comes to the driver is one row per count vector, and a class has at most one run of
+    numbers per split. Entities are numbered inside their class by shards of a
     hash, and the numbers are compared with the runs of the class.
     """
     spark = records.sparkSession
@@ -157,7 +179,7 @@ def split_by_entity(
     runs = []
     for (c, _), given in zip(shapes, _assign(shapes, shares)):
         at = 0
-        for k, m in given:
+        for k, m in enumerate(given):
             if m:
                 runs.append((*[int(x) for x in c], at, at + m, names[k]))
             at += m

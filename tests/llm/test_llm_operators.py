@@ -1,8 +1,10 @@
 """Operators for training data against brute force, with nulls, ties, repeats, hot groups and empty tables."""
 
+import math
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 from itertools import combinations
 
 import pandas as pd
@@ -287,3 +289,39 @@ def test_tokens(spark):
     df = spark.createDataFrame([("Furosemide 40 mg",), ("",), (None,), ("<|endoftext|>",), ("a" * 20000,)], "t string")
     out = [r[0] for r in df.select(token_count("t")).collect()]
     assert out[0] > 3 and out[1] == 0 and out[2] is None and out[3] > 1 and out[4] > 100
+
+
+def test_an_ordered_chain_takes_few_levels(spark):
+    n, tasks = 20_000, 40
+    edges = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    levels = []
+    out = splits.components(edges, "a", "b", n // tasks, levels).agg(F.count(F.lit(1)).alias("n"), F.max("component").alias("c")).first()
+    assert (out["n"], out["c"]) == (n + 1, 0)
+    assert 1 < len(levels) <= 2 * math.log2(tasks) + 1 and all(b < 0.8 * a for a, b in zip(levels, levels[1:]))
+
+
+def one_by_one(shapes, shares):
+    """Every group in turn, largest first, to the split with the largest need."""
+    want = [Fraction(x).limit_denominator(10**9) for x in shares]
+    want = [x / sum(want) for x in want]
+    strata = range(len(shapes[0][0])) if shapes else []
+    total = [sum(c[s] * n for c, n in shapes) for s in strata]
+    have = [[0] * len(total) for _ in shares]
+    out = []
+    for c, n in shapes:
+        given_out = [0] * len(shares)
+        for _ in range(n):
+            need = lambda k: sum(c[s] * (want[k] - Fraction(have[k][s], total[s])) for s in strata if c[s])
+            k = max(range(len(shares)), key=lambda k: (need(k), -k))
+            given_out[k] += 1
+            for s in strata:
+                have[k][s] += c[s]
+        out.append(given_out)
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.tuples(st.integers(0, 4), st.integers(0, 3)).filter(any), st.integers(1, 70), max_size=6), st.sampled_from([[0.7, 0.15, 0.15], [0.5, 0.5], [1.0], [0.9, 0.0, 0.1]]))
+def test_classes_are_given_out_as_groups_one_by_one(counts, shares):
+    shapes = sorted(((list(c), n) for c, n in counts.items()), key=lambda x: (-sum(x[0]), x[0]))
+    assert splits._assign(shapes, shares) == one_by_one(shapes, shares)
