@@ -39,10 +39,11 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def simple_graph(edges: DataFrame, order: str, noise: list[str]) -> DataFrame:
-    """One edge per unordered pair of nodes, the first in ``order``; self-loops and noise relations go."""
+    """One edge per unordered pair of nodes, the first in ``order``, then by its other columns; self-loops and noise relations go."""
     kept = edges.where((F.col("head") != F.col("tail")) & ~F.col("relation").isin(noise))
-    rn = F.row_number().over(Window.partitionBy(F.least("head", "tail"), F.greatest("head", "tail")).orderBy(order))
-    return kept.withColumn("g_rn", rn).where("g_rn = 1").drop("g_rn")
+    first = F.struct(order, "head", "relation", "tail", *[c for c in edges.columns if c not in (order, "head", "relation", "tail")])
+    best = kept.groupBy(F.least("head", "tail").alias("g_lo"), F.greatest("head", "tail").alias("g_hi")).agg(F.min(first).alias("g_first"))
+    return best.select("g_first.*").select(*edges.columns)
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 3, most: int = 5) -> DataFrame:
@@ -66,13 +67,13 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 3, most: int
     return done.withColumn("g_rn", F.row_number().over(order)).where(F.col("g_rn") <= most).drop("g_rn")
 
 
-def triples_along(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """The edges of each path in order: (source, target, nodes, hop, head, relation, tail)."""
+def triples_along(paths: DataFrame, edges: DataFrame, carried: list[str] | None = None) -> DataFrame:
+    """The edges of each path in order: (source, target, nodes, hop, head, relation, tail) and the ``carried`` columns of the edge."""
     hops = paths.select("source", "target", "nodes", F.posexplode(F.slice("nodes", 1, F.size("nodes") - 1)).alias("hop", "a"))
     hops = hops.withColumn("b", F.element_at("nodes", F.col("hop") + 2))
-    keyed = edges.select(F.least("head", "tail").alias("lo"), F.greatest("head", "tail").alias("hi"), "head", "relation", "tail")
+    keyed = edges.select(F.least("head", "tail").alias("lo"), F.greatest("head", "tail").alias("hi"), "head", "relation", "tail", *(carried or []))
     met = (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi"))
-    return hops.join(keyed, met).select("source", "target", "nodes", "hop", "head", "relation", "tail")
+    return hops.join(keyed, met).select("source", "target", "nodes", "hop", "head", "relation", "tail", *(carried or []))
 
 
 def top_share(rows: DataFrame, keys: list[str], score: str, tie: str, share: float) -> DataFrame:

@@ -113,3 +113,33 @@ def bootstrap_f1(rows: DataFrame, row_id: str, predicted: Column, gold: Column,
 def any_true(columns: list[Column]) -> Column:
     """Whether any of several flags holds; null counts as no."""
     return reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in columns])
+
+
+def cluster_shape(members: DataFrame, cluster: str, source: str) -> DataFrame:
+    """One row on a clustering: clusters, with several members, with several sources, the largest, and singletons."""
+    by = members.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(source).alias("k"))
+    return by.agg(
+        F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("n") > 1).alias("multi_member"), F.count_if(F.col("k") > 1).alias("multi_source"),
+        F.coalesce(F.max("n"), F.lit(0)).alias("largest"), F.count_if(F.col("n") == 1).alias("singletons"),
+    )
+
+
+def weighted_precision(labelled: DataFrame, population: DataFrame, strata: list[str], right: Column) -> DataFrame:
+    """One row: labelled rows and their precision weighted by how many rows of the population each stratum has."""
+    per = labelled.groupBy(*strata).agg(F.count(F.lit(1)).alias("k"), F.avg(right.cast("double")).alias("p"))
+    sizes = population.groupBy(*strata).agg(F.count(F.lit(1)).alias("n"))
+    return per.join(sizes, strata).agg(F.sum("k").alias("labelled"), (F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("precision"))
+
+
+def usage_totals(replies: DataFrame, usage: str, price_in: float, price_out: float) -> DataFrame:
+    """One row: replies, tokens in and out, and cost per million tokens, from the JSON that a service returns with each reply."""
+    u = F.from_json(usage, "struct<prompt_tokens:bigint,completion_tokens:bigint>")
+    by = replies.agg(F.count(u).alias("replies"), F.coalesce(F.sum(u.prompt_tokens), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum(u.completion_tokens), F.lit(0)).alias("tokens_out"))
+    return by.withColumn("cost", (F.col("tokens_in") * price_in + F.col("tokens_out") * price_out) / 1e6)
+
+
+def corpus_shape(docs: DataFrame, source: str, words: str, kind: str, kinds: list[str]) -> DataFrame:
+    """Per source: passages, quantiles of their words, and how many there are of each kind."""
+    by = quantiles(docs, [source], words, (0.1, 0.5, 0.9)).withColumnRenamed("n", "with_words")
+    counts = docs.groupBy(source).agg(F.count(F.lit(1)).alias("passages"), *[F.count_if(F.col(kind) == k).alias(f"n_{k}") for k in kinds])
+    return counts.join(by, source, "left")

@@ -58,3 +58,18 @@ def shared_between(splits: DataFrame, entity: str, split: str) -> DataFrame:
     """Entities that stand in more than one split, with the splits: empty if nothing leaks."""
     by = splits.groupBy(entity).agg(F.sort_array(F.collect_set(split)).alias("splits"))
     return by.where(F.size("splits") > 1)
+
+
+def cell_balanced(rows: DataFrame, row_id: str, cell: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows, as many from every cell as an equal share allows; what small cells leave open is filled from the others.
+
+    Rows are taken in hash order, in their cell and among what is left over. With fewer than ``n`` rows all are taken. Cells
+    are meant to be few; null is one.
+    """
+    cells = rows.select(cell).distinct().count()
+    share = n // cells if cells else 0
+    ranked = _ranked(rows, row_id, [cell], seed)
+    first = ranked.where(F.col("s_rank") < share).drop("s_rank")
+    rest = ranked.where(F.col("s_rank") >= share).drop("s_rank")
+    more = n - first.count()
+    return first.unionByName(rest.orderBy(hash_order(F.col(row_id), seed), row_id).limit(max(0, more)))

@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Abbreviations after which a full stop ends no sentence.
-ABBREVIATIONS = ("e.g.", "i.e.", "vs.", "etc.", "Dr.", "Fig.", "al.", "approx.", "No.")
+ABBREVIATIONS = ("e.g.", "i.e.", "vs.", "i.v.", "et al.", "approx.", "Fig.", "Figs.", "No.", "ca.", "cf.", "etc.", "Dr.", "min.", "max.")
 HIDDEN = "\u0001"
 
 
@@ -26,7 +23,7 @@ def sentences(text: Column) -> Column:
 def clean(text: Column) -> Column:
     """Ligatures spelled out, soft hyphens dropped, white space collapsed."""
     out = text
-    for a, b in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("­", "")):
+    for a, b in (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("­", "")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
@@ -49,37 +46,60 @@ def chunks(units: Column, most_words: int = 400) -> Column:
 
 #: Units of a dose and what they are in milligrams.
 DOSE_UNITS = {"mg": 1.0, "g": 1000.0, "mcg": 0.001, "µg": 0.001}
-_NUMBER = r"(\d+(?:\.\d+)?)"
-_QUANTITY = re.compile(
-    rf"(?P<cmp>above|over|below|under|up to|at least|at most|>=|<=|>|<)?\s*\b{_NUMBER}(?:\s*(?:-|–|to)\s*{_NUMBER})?\s*(?P<unit>mcg|µg|mg|g)\b(?P<basis>\s*/\s*(?:kg|h|hour|day)(?:\s*/\s*(?:h|hour|day))?|\s+(?:per|a)\s+(?:kg|hour|day))?",
-    re.I,
+#: Words before a dose that make it a bound.
+BOUNDS = {
+    "above": ">", "over": ">", ">": ">", "below": "<", "under": "<", "<": "<", "up to": "<=", "at most": "<=", "no more than": "<=", "maximum of": "<=", "maximum": "<=", "not exceed": "<=",
+    "<=": "<=", "≤": "<=", "at least": ">=", "minimum of": ">=", "minimum": ">=", ">=": ">=", "≥": ">=",
+}
+_NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
+#: One dose: (bound), (low), (high), (unit), (basis). Concentrations such as mg/dL are none.
+QUANTITY = (
+    r"(?i)(?:(" + "|".join(sorted(BOUNDS, key=lambda b: (-len(b), b))) + r")\s*)?\b" + _NUMBER + r"(?:\s*(?:-|–|—|to)\s*" + _NUMBER + r")?\s*(mcg|µg|mg|g)\b(?:(\s*/\s*(?:kg|h|hour|day|dose)\b(?:\s*/\s*(?:h|hour|day)\b)?|\s+(?:per|a)\s+(?:kg|hour|day|dose)\b))?"
 )
-_SIGN = {"above": ">", "over": ">", ">": ">", "below": "<", "under": "<", "<": "<", "up to": "<=", "at most": "<=", "<=": "<=", "at least": ">=", ">=": ">="}
+
+
+def _without_thousands(text: Column) -> Column:
+    return F.regexp_replace(text, r"([0-9]),([0-9]{3})\b", "$1$2")
+
+
+def quantities(text: Column) -> Column:
+    """Doses named in a text, as an array of (comparator, basis, low_mg, high_mg) in the order of the text; null names none.
+
+    A bound before the number makes a comparator, else it is ``=``; the basis is what stands after the unit, such as kg, h,
+    day or kg/h, else dose. Separators of thousands are dropped first.
+    """
+    flat = _without_thousands(text)
+    part = lambda k: F.regexp_extract_all(flat, F.lit(QUANTITY), k)
+    sign = F.create_map(*[F.lit(x) for kv in BOUNDS.items() for x in kv])
+    scale = F.create_map(*[F.lit(x) for kv in DOSE_UNITS.items() for x in kv])
+    rows = F.arrays_zip(part(1).alias("c"), part(2).alias("l"), part(3).alias("h"), part(4).alias("u"), part(5).alias("b"))
+
+    def dose(r: Column) -> Column:
+        unit = F.element_at(scale, F.lower(r["u"]))
+        low = r["l"].cast("double") * unit
+        basis = F.replace(F.regexp_replace(F.regexp_replace(F.lower(r["b"]), r"\s+|per|\ba\b", ""), "^/", ""), F.lit("hour"), F.lit("h"))
+        return F.struct(
+            F.coalesce(F.try_element_at(sign, F.lower(r["c"])), F.lit("=")).alias("comparator"), F.when(basis == "", "dose").otherwise(basis).alias("basis"), low.alias("low_mg"),
+            F.when(r["h"] == "", low).otherwise(r["h"].try_cast("double") * unit).alias("high_mg"),
+        )
+
+    return F.transform(rows, dose)
 
 
 def quantities_in(text: str) -> list[tuple[str, str, float, float]]:
-    """Doses named in a text: (comparator, basis, low, high) in milligrams."""
+    """``quantities`` of one text outside of Spark."""
     out = []
-    for m in _QUANTITY.finditer(re.sub(r"(?<=\d),(?=\d{3}\b)", "", text)):
-        low = float(m.group(2)) * DOSE_UNITS[m.group("unit").lower()]
-        high = float(m.group(3)) * DOSE_UNITS[m.group("unit").lower()] if m.group(3) else low
-        basis = re.sub(r"\s+|per|\ba\b", "", (m.group("basis") or "").lower()).strip("/").replace("hour", "h")
-        out.append((_SIGN.get((m.group("cmp") or "").lower(), "="), basis or "dose", low, high))
+    for m in re.finditer(QUANTITY, re.sub(r"([0-9]),([0-9]{3})\b", r"\1\2", text)):
+        scale = DOSE_UNITS[m.group(4).lower()]
+        low = float(m.group(2)) * scale
+        basis = re.sub(r"\s+|per|\ba\b", "", (m.group(5) or "").lower()).removeprefix("/").replace("hour", "h")
+        out.append((BOUNDS.get((m.group(1) or "").lower(), "="), basis or "dose", low, float(m.group(3)) * scale if m.group(3) else low))
     return out
 
 
 def quantity_mentions(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row per dose named in a text: (doc_id, n, comparator, basis, low_mg, high_mg). Null texts name none."""
-    kind = docs.schema[doc_id].dataType.simpleString()
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(i, n, *q) for i, t in zip(batch["i"], batch["t"]) for n, q in enumerate(quantities_in(t))]
-            yield pd.DataFrame(rows, columns=["i", "n", "comparator", "basis", "low_mg", "high_mg"])
-
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("i"), F.col(text).alias("t"))
-    out = rows.mapInPandas(find, f"i {kind}, n int, comparator string, basis string, low_mg double, high_mg double")
-    return out.withColumnRenamed("i", doc_id)
+    """One row per dose named in a text: (doc_id, n, comparator, basis, low_mg, high_mg). Null texts name none. Whole texts are read, in the JVM."""
+    return docs.select(doc_id, F.posexplode(quantities(F.col(text))).alias("n", "q")).select(doc_id, "n", "q.*")
 
 
 def masked_doses(text: Column) -> Column:

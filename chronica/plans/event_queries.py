@@ -271,6 +271,8 @@ SQL = {
       FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY epoch_us(o_orderdate) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "history_rollup": """SELECT o_custkey, count(*) AS n, count(DISTINCT l_orderkey) AS n_orders, min(l_quantity) AS min_q, max(l_quantity) AS max_q,
       round(sum(l_quantity) FILTER (l_returnflag = 'R'), 4) AS returned FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey""",
+    "prior_nested": """WITH r AS (SELECT o_custkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders),
+      f AS (SELECT *, min(rn) OVER (PARTITION BY o_custkey, o_orderdate) AS f FROM r) SELECT o_custkey, sum(least(3, rn - 1) - least(3, rn - f))::BIGINT AS n_prior_shown, count(*) AS n_orders FROM f GROUP BY 1""",
     "attach_history": f"""WITH {_S} SELECT m.o_orderkey, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(min((epoch_us(m.at) - epoch_us(l_shipdate)) / 3.6e9), 3) AS hours_before
       FROM m JOIN orders o ON o.o_custkey = m.cust JOIN lineitem ON l_orderkey = o.o_orderkey WHERE l_shipdate < m.at AND l_shipdate >= m.at - INTERVAL 90 DAY GROUP BY m.o_orderkey""",
     "active_at_end": f"""WITH {_S} SELECT m.o_orderkey, arg_max(span, {{'a': s_from, 'b': span}}) AS span FROM m JOIN s USING (cust)

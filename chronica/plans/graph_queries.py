@@ -208,6 +208,17 @@ def mmr_select(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.diverse(e, "label", "vec_id", "embedding", "relevance")
 
 
+def vector_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Complete-linkage clusters of the vectors of each label."""
+    e = table(spark, folder, "embeddings")
+    return resolve.cluster_within(e, "label", "vec_id", "embedding", 0.25, "complete")
+
+
+def silhouette_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Thresholds of average linkage with the silhouette each reaches on a sample of 1,000 vectors."""
+    return resolve.threshold_search(table(spark, folder, "embeddings"), "vec_id", "embedding", steps=8, sample=1_000)
+
+
 def ridge_errors(spark: SparkSession, folder: str) -> DataFrame:
     l = table(spark, folder, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_extendedprice")
     fitted = model.fit_ridge(l.where("l_orderkey % 5 <> 0"), ["l_quantity", "l_discount", "l_tax"], ["l_returnflag"], "l_extendedprice", 1.0)
@@ -234,7 +245,24 @@ _GRAPH = """e AS (SELECT s_name AS a, 'NATION_' || s_nationkey AS b, 'in' AS rel
  best AS (SELECT *, min(len(nodes)) OVER (PARTITION BY src, dst) AS least FROM hit),
  ranked AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY array_to_string(nodes, chr(31))) AS rn FROM best WHERE len(nodes) = least)"""
 
+_SENT = "text"
+for _a in text.ABBREVIATIONS:
+    _SENT = f"replace({_SENT}, '{_a}', '{_a.replace('.', chr(1))}')"
+_PARTS = f"list_filter(list_transform(regexp_split_to_array(regexp_replace({_SENT}, '([.!?])\\s+', '\\1' || chr(2), 'g'), chr(2) || '|\\n+'), lambda x: trim(replace(x, chr(1), '.'))), lambda x: x <> '')"
+_Q = text.QUANTITY.replace("'", "''")
+_FLAT = "regexp_replace(text, '([0-9]),([0-9]{3})\\b', '\\1\\2', 'g')"
+_BOUND = "CASE lower(c) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.BOUNDS.items()) + " ELSE '=' END"
+_TERMS = ", ".join(f"('{t}', '{c}')" for c, t in TERMS)
+_ANY = "|".join(sorted((t for _, t in TERMS), key=lambda t: (-len(t), t)))
+
 SQL = {
+    "sentence_units": f"SELECT doc_id, len({_PARTS})::INT AS n_sentences, CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '))::INT END AS n_words_found FROM documents WHERE text IS NOT NULL",
+    "quantity_mentions": f"""WITH d AS (SELECT doc_id, {', '.join(f"regexp_extract_all({_FLAT}, '{_Q}', {k}) AS a{k}" for k in range(1, 6))} FROM documents WHERE text IS NOT NULL),
+      u AS (SELECT doc_id, unnest(range(len(a2)))::INT AS n, unnest(a1) AS c, unnest(a2) AS l, unnest(a3) AS h, lower(unnest(a4)) AS u, lower(unnest(a5)) AS b FROM d),
+      x AS (SELECT *, CASE u WHEN 'g' THEN 1000.0 WHEN 'mg' THEN 1.0 ELSE 0.001 END::DOUBLE AS f, replace(regexp_replace(regexp_replace(coalesce(b, ''), '\\s+|per|\\ba\\b', '', 'g'), '^/', ''), 'hour', 'h') AS basis FROM u)
+      SELECT doc_id, n, {_BOUND} AS comparator, CASE WHEN basis = '' THEN 'dose' ELSE basis END AS basis, l::DOUBLE * f AS low_mg, coalesce(TRY_CAST(nullif(h, '') AS DOUBLE), l::DOUBLE) * f AS high_mg FROM x""",
+    "term_links": f"""WITH t(term, concept) AS (VALUES {_TERMS}), h AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '(?i)\\b({_ANY})\\b', 1))) AS term FROM documents)
+      SELECT doc_id, concept, count(*) AS n FROM h JOIN t USING (term) GROUP BY ALL""",
     "ladder_filter": "SELECT l_quantity, count(*) AS n FROM lineitem WHERE l_quantity IN (1, 5, 10, 20, 25, 40, 50) AND l_quantity % 5 = 0 GROUP BY 1",
     "plausible_rows": """SELECT l_returnflag, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem WHERE coalesce(l_quantity BETWEEN 5 AND 45, true)
       AND coalesce(l_discount BETWEEN 0.01 AND 0.09, true) AND coalesce(l_extendedprice BETWEEN 1000 AND 80000, true) GROUP BY 1""",
@@ -285,7 +313,7 @@ QUERIES: list[Query] = [
     ladder_filter, plausible_rows, right_closed_bins, case_tiers, filtration_rates, enrich_left, prefix_backoff, first_match_class, versioned_prefix_flag,
     stratified_split, temporal_split, quota_sample, split_leakage, cooccurrence_topk, distinct_sets, jaccard_knn, near_dup_sets, merge_edges,
     shortest_paths_3hop, path_triples, path_score_topk, canonical_names, protect_names, sentence_units, chunk_passages, quantity_mentions, dedupe_texts,
-    term_links, cosine_search, mmr_select, ridge_errors,
+    term_links, cosine_search, mmr_select, vector_clusters, silhouette_search, ridge_errors,
 ]
 
 

@@ -187,6 +187,8 @@ SQL = {
     "plausible_readings": "SELECT itemid, count(*) AS n, quantile_cont(valuenum, 0.25) AS p25, quantile_cont(valuenum, 0.5) AS p50, quantile_cont(valuenum, 0.75) AS p75 FROM chartevents WHERE valuenum IS NOT NULL GROUP BY 1",
     "infusion_rate_events": """WITH h AS (SELECT CASE WHEN kind IN ('bolus', 'oral') THEN kind ELSE 'infusion' END AS k, scope, dose_mg, rate_mg_h * duration_h AS r FROM history_events)
       SELECT k AS kind, scope, count(*) AS n, count(coalesce(dose_mg, CASE WHEN k = 'infusion' THEN r END)) AS with_dose, round(sum(coalesce(dose_mg, CASE WHEN k = 'infusion' THEN r END)), 2) AS total_mg FROM h GROUP BY ALL""",
+    "payloads": f"""WITH {_D}, p AS (SELECT dose_id, [CASE WHEN state.sex IS NOT NULL THEN '"sex":"' || state.sex || '"' END, CASE WHEN state.ckd_stage IS NOT NULL THEN '"ckd_stage":"' || state.ckd_stage || '"' END, CASE WHEN split IS NOT NULL THEN '"split":"' || split || '"' END] AS f FROM d)
+      SELECT dose_id, '{{' || array_to_string(list_filter(f, lambda x: x IS NOT NULL), ',') || '}}' AS payload FROM p""",
     "hours_since_admission": """WITH c AS (SELECT hadm_id, any_value(t_dec) AS t_dec, any_value(admittime) AS a FROM cohort GROUP BY hadm_id), h AS (SELECT (epoch_us(t_dec) - epoch_us(a)) / 3.6e9 AS h FROM c)
       SELECT CASE WHEN h IS NULL THEN 'none' WHEN h <= 6 THEN 'to 6' WHEN h <= 24 THEN 'to 24' ELSE 'later' END AS bin, count(*) AS n FROM h GROUP BY 1""",
 }

@@ -52,7 +52,7 @@ def with_retries(call: Callable[[], Any], tries: int = 3, wait: float = 1.0, sle
             sleep(wait * 2**n * (1 + random.random() / 4))
 
 
-def run_units(units: DataFrame, unit: str, request: str, client: Callable[[], Client], partitions: int = 2, calls: int = 60, seconds: float = 60.0) -> DataFrame:
+def run_units(units: DataFrame, unit: str, request: str, client: Callable[[], Client], partitions: int = 2, calls: int = 60, seconds: float = 60.0, wait: float = 1.0) -> DataFrame:
     """(unit, ok, reply, error) for each unit: its request sent through a client made once per task.
 
     An error is an answer too: the row says so and ``readers.pending`` brings the unit back.
@@ -65,7 +65,7 @@ def run_units(units: DataFrame, unit: str, request: str, client: Callable[[], Cl
             for u, r in zip(batch["u"], batch["r"]):
                 limit.acquire()
                 try:
-                    rows.append((u, True, with_retries(lambda r=r: ask(r)), None))
+                    rows.append((u, True, with_retries(lambda r=r: ask(r), wait=wait), None))
                 except Exception as error:  # noqa: BLE001
                     rows.append((u, False, None, str(error)[:200]))
             yield pd.DataFrame(rows, columns=["unit", "ok", "reply", "error"])
@@ -74,13 +74,16 @@ def run_units(units: DataFrame, unit: str, request: str, client: Callable[[], Cl
     return few.mapInPandas(work, "unit string, ok boolean, reply string, error string")
 
 
-#: The keys under which a reply may hold its rows, and the names of a triple's parts.
-ROWS_UNDER = ("triples", "relations", "edges", "results", "data")
-PARTS = (("head", "subject", "source"), ("relation", "predicate", "type"), ("tail", "object", "target"))
+#: The keys under which a reply may hold its rows, and the names of a triple's parts, in the order they are tried.
+ROWS_UNDER = ("triples", "relationships", "output", "result", "data")
+HEADS, RELATIONS, TAILS = ("head", "subject", "entity1"), ("relation", "predicate", "relationship"), ("tail", "object", "entity2")
 
 
 def triples_in(reply: str | None) -> list[tuple[str, str, str]]:
-    """Triples of a reply: a list, or a list under a known key, of three-part lists or objects; fenced text too."""
+    """Triples of a reply: a list, or the list under a known key or else the first list of an object; fenced text too.
+
+    A row is a list of three, of whatever kind, or an object that names all three parts. Rows with a blank part go.
+    """
     if not reply:
         return []
     try:
@@ -88,13 +91,14 @@ def triples_in(reply: str | None) -> list[tuple[str, str, str]]:
     except ValueError:
         return []
     if isinstance(data, dict):
-        data = next((data[k] for k in ROWS_UNDER if isinstance(data.get(k), list)), [])
+        lists = [data[k] for k in ROWS_UNDER if isinstance(data.get(k), list)] + [v for v in data.values() if isinstance(v, list)]
+        data = lists[0] if lists else []
     out = []
     for row in data if isinstance(data, list) else []:
         if isinstance(row, dict):
-            row = [next((row[k] for k in names if row.get(k)), None) for names in PARTS]
-        if isinstance(row, list) and len(row) == 3 and all(isinstance(x, str) and x.strip() for x in row):
-            out.append(tuple(x.strip() for x in row))
+            row = [next((row[k] for k in names if row.get(k)), None) for names in (HEADS, RELATIONS, TAILS)]
+        if isinstance(row, list) and len(row) == 3 and all(x is not None and str(x).strip() for x in row):
+            out.append(tuple(str(x).strip() for x in row))
     return out
 
 

@@ -3,10 +3,11 @@
 import pytest
 from helpers import DATA, rows_of, sql_rows
 
-from chronica.plans import core_queries, event_queries, graph_queries, record_queries
+from chronica.plans import core_queries, decision_queries, event_queries, graph_queries, record_queries, retrieval_queries, source_queries
 
-QUERIES = {k: q for m in (core_queries, event_queries, graph_queries, record_queries) for k, q in m.queries().items()}
-SQL = {k: q for m in (core_queries, event_queries, graph_queries, record_queries) for k, q in m.oracle_sql().items()}
+MODULES = (core_queries, event_queries, graph_queries, record_queries, decision_queries, retrieval_queries, source_queries)
+QUERIES = {k: q for m in MODULES for k, q in m.queries().items()}
+SQL = {k: q for m in MODULES for k, q in m.oracle_sql().items()}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
