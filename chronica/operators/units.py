@@ -220,9 +220,11 @@ def to_common_units(
     small = F.broadcast(df.sparkSession.createDataFrame(facts, schema))
 
     @F.pandas_udf("string")
-    def named(shape: pd.Series, quantity: pd.Series) -> pd.Series:
+    def named_in(shape: pd.Series, quantity: pd.Series) -> pd.Series:
         return pd.Series([names.named(s, q) for s, q in zip(shape, quantity)], dtype=object)
 
+    named = named_in.asNondeterministic()  # a filter on the unit must not name it a second time
+
     value = F.when(~F.isnan(number), F.col(number))
     dotted = lambda c: F.replace(c, F.lit(","), F.lit(".")).try_cast("double")
     feet = F.regexp_extract(text, FEET, 1)
