@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronica.session import cut
+from chronica.operators.ranks import sharded_rank
+from chronica.session import cut, parallelism
+
+#: A basket of more items is cut into blocks of so many, and pairs of blocks are shared out over the tasks.
+MOST_IN_BLOCK = 2_000
 
 
 def normalised(name: Column) -> Column:
@@ -26,6 +30,29 @@ def baskets(records: DataFrame, record_id: str, lists: list[str]) -> DataFrame:
     return rows.groupBy(record_id).agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
+def _blocks(baskets: DataFrame) -> DataFrame:
+    """Baskets cut into blocks: those of more than ``MOST_IN_BLOCK`` codes become pairs of blocks, spread over the tasks.
+
+    Gives codes, others (the second block, null for the pairs inside of ``codes``) and w. Every pair of a basket is in one row.
+    """
+    step = MOST_IN_BLOCK
+    small = baskets.where(F.size("codes") <= step).select("codes", F.lit(None).cast("array<int>").alias("others"), "w")
+    n = F.ceil(F.size("codes") / step).cast("int")
+    part = lambda k: F.slice("codes", k * step + 1, F.lit(step))
+    large = baskets.where(F.size("codes") > step).select("codes", "w", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    large = large.select("codes", "w", "i", F.explode(F.sequence("i", F.ceil(F.size("codes") / step).cast("int") - 1)).alias("j"))
+    cut_up = large.select(part(F.col("i")).alias("codes"), F.when(F.col("i") != F.col("j"), part(F.col("j"))).alias("others"), "w")
+    return small.unionByName(cut_up.repartition(parallelism(baskets.sparkSession)))
+
+
+def _pairs(blocks: DataFrame) -> DataFrame:
+    """(a, b, w) for every pair of each row."""
+    others = F.col("others") if "others" in blocks.columns else F.lit(None).cast("array<int>")
+    first = blocks.select("codes", others.alias("others"), "w", F.posexplode("codes").alias("i", "a"))
+    rest = F.coalesce("others", F.slice("codes", F.col("i") + 2, F.size("codes")))
+    return first.select("a", F.explode(rest).alias("b"), "w")
+
+
 def pair_counts(
     records: DataFrame, record_id: str, lists: list[str], least_count: int = 5, least_per_mille: int = 0
 ) -> DataFrame:
@@ -38,27 +65,34 @@ def pair_counts(
 
     Equal baskets are collapsed to one with a weight. An item rarer than the least pair count can
     be in no kept pair, so it is dropped from the baskets before pairs are made, after which more
-    baskets are equal and are collapsed again. Each distinct basket gives its pairs once, and the
+    baskets are equal and are collapsed again. Items are numbered, so pairs travel as two numbers. Each distinct basket gives its pairs once, a very large one from several tasks, and the
     weights are summed with partial sums before the shuffle. The work follows the distinct baskets
     and the items frequent enough, not the number of records.
     """
     whole = baskets(records, record_id, lists)
     # The distinct baskets serve three times, and are what is left of the records.
     weighted = cut(whole.groupBy("items").agg(F.count(F.lit(1)).alias("w")))
-    total = weighted.agg(F.sum("w")).first()[0] or 0
+    total, longest = weighted.agg(F.sum("w"), F.max(F.size("items"))).first()
+    total, longest = total or 0, longest or 0
     single = weighted.select(F.explode("items").alias("item"), "w").groupBy("item").agg(F.sum("w").alias("n"))
     wide = "decimal(38,0)"
     single = single.withColumn("n_records", F.lit(total).cast("bigint"))
     enough = (F.col("n") >= least_count) & (F.col("n").cast(wide) * 1000 >= F.col("n_records").cast(wide) * least_per_mille)
     frequent = single.where(enough)
 
-    marked = weighted.where(F.size("items") > 1).withColumn("b", F.md5(F.concat_ws("\u001f", "items")))
-    kept = marked.select("b", "w", F.explode("items").alias("item")).join(frequent.select("item"), "item")
-    again = kept.groupBy("b").agg(F.first("w").alias("w"), F.sort_array(F.collect_list("item")).alias("items"))
-    again = again.where(F.size("items") > 1).groupBy("items").agg(F.sum("w").alias("w"))
-    first = again.select("items", "w", F.posexplode("items").alias("i", "item_a"))
-    pairs = first.select("item_a", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("item_b"), "w")
-    counted = pairs.groupBy("item_a", "item_b").agg(F.sum("w").alias("n_ab")).where(F.col("n_ab") >= least_count)
+    # From here on an item is a number; names come back at the end.
+    spread = F.pmod(F.xxhash64("item"), F.lit(max(64, parallelism(records.sparkSession))))
+    coded = sharded_rank(frequent, [], [F.col("item")], spread, "code").withColumn("code", F.col("code").cast("int"))
+    marked = weighted.where(F.size("items") > 1).withColumn("b", F.xxhash64("items")).withColumn("c", F.md5(F.concat_ws("\u001f", "items")))
+    kept = marked.select("b", "c", "w", F.explode("items").alias("item")).join(coded.select("item", "code"), "item")
+    again = kept.groupBy("b", "c").agg(F.first("w").alias("w"), F.sort_array(F.collect_list("code")).alias("codes"))
+    again = again.where(F.size("codes") > 1).groupBy("codes").agg(F.sum("w").alias("w"))
+    blocks = again if longest <= MOST_IN_BLOCK else _blocks(again)
+    pairs = _pairs(blocks).groupBy("a", "b").agg(F.sum("w").alias("n_ab")).where(F.col("n_ab") >= least_count)
+    name = lambda end: coded.select(F.col("code").alias(end), F.col("item").alias(f"item_{end}"))
+    counted = pairs.join(name("a"), "a").join(name("b"), "b").select(
+        F.least("item_a", "item_b").alias("item_a"), F.greatest("item_a", "item_b").alias("item_b"), "n_ab"
+    )
 
     left = frequent.select(F.col("item").alias("item_a"), F.col("n").alias("n_a"), "n_records")
     right = frequent.select(F.col("item").alias("item_b"), F.col("n").alias("n_b"))
