@@ -61,18 +61,23 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return cooccurrence.beyond_chance(pairs, 3).select("item_a", "item_b")
 
 
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+def p4_found(spark: SparkSession, folder: str, most_rows: int = 500_000) -> DataFrame:
     """For each cohort record and itemid the result nearest to t_dec within two hours."""
+    within = 2 * HOUR
     labs = table(spark, folder, "labevents").where(F.col("valuenum").isNotNull() & ~F.isnan("valuenum")).select(
         number_of(F.col("subject_id")).alias("subject"), "itemid", micros(F.coalesce("charttime", "storetime")).alias("time"), "labevent_id"
     )
     labs = labs.where("time is not null and subject is not null and itemid is not null")
     records = table(spark, folder, "cohort").select(
         number_of(F.col("subject_id")).alias("subject"), "hadm_id", micros(F.col("t_dec")).alias("time")
-    ).where("time is not null").distinct()
-    # A record asks for the items its subject has at all.
-    asked = records.join(labs.select("subject", "itemid").distinct(), "subject")
-    found = nearest.nearest_in_time(asked, labs, ["subject", "itemid"], "time", "hadm_id", "labevent_id", 2 * HOUR)
+    ).where("time is not null and subject is not null").distinct()
+    # Results in none of the two-hour cells around a record of their subject can't be near one; the others are written once.
+    cell = F.floor(F.col("time") / within)
+    cells = records.select("subject", F.explode(F.sequence(cell - 1, cell + 1)).alias("cell")).distinct()
+    near = cut(labs.withColumn("cell", cell).join(cells, ["subject", "cell"], "left_semi").drop("cell"))
+    # A record asks for the items its subject has there.
+    asked = records.join(near.select("subject", "itemid").distinct(), "subject")
+    found = nearest.nearest_in_time(asked, near, ["subject", "itemid"], "time", "hadm_id", "labevent_id", within, most_rows)
     # Several records of one hadm_id: the nearest of their results.
     best = found.groupBy("hadm_id", "itemid").agg(F.min(F.struct(F.abs("apart").alias("d"), "apart", "labevent_id")).alias("m"))
     return best.select("hadm_id", "itemid", F.col("m.labevent_id").alias("labevent_id"))
