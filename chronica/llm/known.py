@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronica.operators.shards import running_max
+from chronica.operators.shards import HotGroups, running_max
 
 
 def as_known_at(
@@ -28,8 +28,8 @@ def as_known_at(
     entities match each other. Repeated events stay, repeated versions change nothing. Empty
     tables give what they can: no events no rows, no versions null attributes.
 
-    ``shard`` is a function of ``time`` that never falls as time rises. An entity of more than
-    ``most_rows`` is cut by it into shards; each shard gets the last version before it as carry-in, by
+    ``shard`` is a number, a function of ``time`` that never falls as time rises. An entity of more than
+    ``most_rows`` is cut by it into shards of about equal numbers of rows; each shard gets the last version before it as carry-in, by
     a running maximum over one row per shard, and is then merged by itself. A version in an earlier
     shard is earlier in time, so the cut never changes what is known.
     """
@@ -51,6 +51,28 @@ def as_known_at(
     )
 
 
+def was_known(
+    pairs: DataFrame, keys: list[str], asked: str, known: str, inclusive: Column | None = None, most_rows: int = 500_000
+) -> DataFrame:
+    """``as_known_at`` for rows that hold both an event and a version: (keys, known_at).
+
+    Each row of an entity asks at the time ``asked`` and tells a time ``known`` at which something was known of it, both
+    of one numeric type. Per entity the rows are first reduced to the earliest of both, combined before the shuffle: what was
+    known at all is known at the earliest asking if its first version is. The event and the version of an entity then
+    go through the same merge, without another exchange. Entities with a null ``asked`` or without any ``known`` are left out.
+    ``inclusive`` is a condition on the keys.
+    """
+    first = pairs.groupBy(*keys).agg(F.min(asked).alias("w_asked"), F.min(known).alias("w_known")).where("w_asked is not null and w_known is not null")
+    after = F.lit(0) if inclusive is None else F.when(inclusive, 2).otherwise(0)
+    nothing = F.lit(None).cast(pairs.schema[known].dataType)
+    both = first.select(*keys, F.inline(F.array(
+        F.struct(F.col("w_asked").alias("t"), after.alias("kind"), nothing.alias("v")), F.struct(F.col("w_known").alias("t"), F.lit(1).alias("kind"), F.col("w_known").alias("v")),
+    )))
+    hot = HotGroups(both, keys, most_rows, largest=2)
+    merged = running_max(both, keys, [F.col("t"), F.col("kind")], "v", "known_at", F.col("t"), hot=hot)
+    return merged.where("kind <> 1").select(*keys, "known_at")
+
+
 def concept_times(profiles: DataFrame) -> DataFrame:
     """Every time a concept has in a profile: (dose_id, index_t0, concept, known_text).
 

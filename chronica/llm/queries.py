@@ -86,49 +86,44 @@ def p4_found(spark: SparkSession, folder: str, most_rows: int = 500_000) -> Data
 COLUMNS = {"uo_6h_after_ml": 6.0, "escalated_24h": 24.0, "creatinine_after_48h": 48.0}
 
 
-def _profile_knowledge(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Events and versions of the profiles on one axis of microseconds, keyed by profile and concept."""
+KNOWN_KEYS = ["origin", "record_id", "item"]
+
+
+def _profile_knowledge(spark: SparkSession, folder: str) -> DataFrame:
+    """Profiles and concepts with their index time and the times they were known, in microseconds."""
     times = known.concept_times(table(spark, folder, "profiles").where("dose_id is not null"))
     stamp = micros(parse_stamp(F.col("known_text")))
     end = F.when(is_date_only(F.col("known_text")), stamp + DAY - 1).otherwise(stamp)
     keys = [F.lit("profile").alias("origin"), F.col("dose_id").alias("record_id"), F.col("concept").alias("item")]
-    t0 = micros(parse_stamp(F.col("index_t0"))).cast("double")
-    both = times.select(*keys, t0.alias("t0"), end.cast("double").alias("time")).where("time is not null")
-    events = both.where("t0 is not null").select("origin", "record_id", "item", F.col("t0").alias("time"), F.lit(False).alias("upto"))
-    return events, both.drop("t0")
+    return times.select(*keys, micros(parse_stamp(F.col("index_t0"))).cast("double").alias("asked"), end.cast("double").alias("known"))
 
 
-def _history_knowledge(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Events and versions of the history on an axis of hours from t_dec, keyed by event and column."""
+def _history_knowledge(spark: SparkSession, folder: str) -> DataFrame:
+    """History events and columns on an axis of hours from t_dec."""
     rows = table(spark, folder, "history_events").where("hours_before_t_dec is not null and not isnan(hours_before_t_dec)")
     one = lambda item, after: F.struct(F.lit(item).alias("item"), F.lit(after).alias("after"))
     columns = [F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.col("hours_before_t_dec") > 0), one(c, h)) for c, h in COLUMNS.items()]
     parts = F.filter(F.array(one("row", 0.0), *columns), lambda x: x.isNotNull())
     long = rows.select(F.col("hist_id").cast("string").alias("record_id"), F.col("hours_before_t_dec").alias("h"), F.inline(parts))
-    keyed = long.select(F.lit("history").alias("origin"), "record_id", "item", (F.col("after") - F.col("h")).alias("time"))
-    # A row must be known before t_dec; a response whose window closes at t_dec is known.
-    return keyed.select("origin", "record_id", "item", F.lit(0.0).alias("time"), (F.col("item") != "row").alias("upto")), keyed
+    return long.select(F.lit("history").alias("origin"), "record_id", "item", F.lit(0.0).alias("asked"), (F.col("after") - F.col("h")).alias("known"))
 
 
-def _knowledge(spark: SparkSession, folder: str) -> DataFrame:
-    """(origin, record_id, item, known): whether the item was known at every time it is asked for."""
-    pe, pv = _profile_knowledge(spark, folder)
-    he, hv = _history_knowledge(spark, folder)
-    # A month of microseconds, or of hours: time never runs back across shards.
-    width = F.when(F.col("origin") == "profile", 30.0 * DAY).otherwise(720.0)
-    keys = ["origin", "record_id", "item"]
-    asked = known.as_known_at(pe.unionByName(he), pv.unionByName(hv), keys, "time", [], F.floor(F.col("time") / width), F.col("upto"))
-    return asked.groupBy(*keys).agg(F.bool_and(F.col("known_at").isNotNull()).alias("known"))
+def _knowledge(spark: SparkSession, folder: str, most_rows: int) -> DataFrame:
+    """(origin, record_id, item, known_at): the time at which the item was known before it is asked for, or null."""
+    both = _profile_knowledge(spark, folder).unionByName(_history_knowledge(spark, folder))
+    # A row must be known before t_dec; a response whose window closes at t_dec is known.
+    upto = (F.col("origin") == "history") & (F.col("item") != "row")
+    return known.was_known(both, KNOWN_KEYS, "asked", "known", upto, most_rows)
 
 
-def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+def p7_found(spark: SparkSession, folder: str, most_rows: int = 500_000) -> DataFrame:
     """What stands in a profile or a history event but was not known at its time."""
-    return _knowledge(spark, folder).where("not known").select("origin", "record_id", "item")
+    return _knowledge(spark, folder, most_rows).where("known_at is null").select(*KNOWN_KEYS)
 
 
-def p7_known(spark: SparkSession, folder: str) -> DataFrame:
+def p7_known(spark: SparkSession, folder: str, most_rows: int = 500_000) -> DataFrame:
     """What was known at the time of the profile or history event: the parts that may be used."""
-    return _knowledge(spark, folder).where("known").select("origin", "record_id", "item")
+    return _knowledge(spark, folder, most_rows).where("known_at is not null").select(*KNOWN_KEYS)
 
 
 def _sizes(spark: SparkSession, folder: str, vocabulary: str = VOCABULARY) -> DataFrame:
