@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of the scaled draw of each source; the reached size is exact to one bucket's tokens.
+#: Buckets of the scaled draw of each source, and of the bucket its threshold falls in.
 BUCKETS = 8192
 TOP = 8.0
-#: Buckets looked through beyond a source's threshold for documents that fit what is lacking.
-EDGE = 256
+#: The languages and topics that are raked by themselves; all others are one class, ``other``.
+LANGUAGES = ("en", "de", "fr", "es", "unknown")
+TOPICS = (
+    "Hospital course", "Fluid balance", "Dosing", "Plan", "Monitoring", "Kidney impairment", "Escalation", "Results", "Adverse effects", "Special groups", "none",
+)
+OTHER = "other"
 
 
 def language(lang: Column) -> Column:
@@ -72,60 +76,77 @@ def rake(
 def mix(
     docs: DataFrame, doc_id: str, source: str, lang: Column, topic: Column, size: str,
     targets: list[tuple[str, float, int]], total: float | None = None, seed: int = 17,
+    languages: tuple[str, ...] = LANGUAGES, topics: tuple[str, ...] = TOPICS,
 ) -> DataFrame:
     """Copies of documents such that each source has its target share of the total size.
 
-    Gives doc_id, source, size and copy (from 1): one row per copy. ``targets`` has (source, share,
+    Gives doc_id, source, language, topic, size and copy (from 1): one row per copy. ``targets`` has (source, share,
     most repeats). Sources without a target, null sources and documents without size are left
     out; a target without documents gets nothing and the other shares are scaled up. Repeated
-    document ids are drawn together. An empty table gives an empty table.
+    document ids are drawn together. An empty table gives an empty table. Languages and topics that aren't named are one class each; a null topic is ``none``.
 
-    The sizes are summed by source, language and topic, which is all the raking needs: one row per
-    target source, language and topic. Each document is then taken the whole part of its cell's
-    repeats, and once more if a hash of its id is below the rest. That threshold is calibrated per
-    source on sums by buckets of the hash, so that the size drawn meets the target to one bucket.
+    The sizes are summed by source, language and topic, which is all the raking needs: at most one row per
+    target and named language and topic, whatever the data hold. Each document is then taken the whole part of its cell's
+    repeats, and once more if a hash of its id, scaled by the rest, is below a threshold. The threshold is calibrated per
+    source on sums by buckets of the hash, and again by as many buckets inside the one it falls in, so that the size drawn meets the
+    target to about one document, whichever is nearer; no document is preferred for its length.
     No document is moved before the rows are written.
     """
     spark = docs.sparkSession
     names = [t[0] for t in targets]
+    one_of = lambda c, named: F.when(c.isin(*named), c).otherwise(OTHER)
     rows = docs.where(F.col(source).isin(names) & (F.col(size) > 0)).select(
-        F.col(doc_id).alias("d"), F.col(source).alias("s"), lang.alias("l"), F.coalesce(topic, F.lit("none")).alias("t"), F.col(size).cast("bigint").alias("z")
+        F.col(doc_id).alias("d"), F.col(source).alias("s"), one_of(lang, languages).alias("l"), one_of(F.coalesce(topic, F.lit("none")), topics).alias("t"), F.col(size).cast("bigint").alias("z")
     )
-    sums = rows.groupBy("s", "l", "t").agg(F.sum("z").alias("z")).collect()  # one row per cell
+    sums = rows.groupBy("s", "l", "t").agg(F.sum("z").alias("z")).collect()  # one row per cell of named classes
     repeats = {t[0]: int(t[2]) for t in targets}
     plan, _ = rake([(r["s"], r["l"], r["t"], float(r["z"])) for r in sums], {t[0]: float(t[1]) for t in targets}, repeats, total)
+    shown = [F.col("d").alias(doc_id), F.col("s").alias(source), F.col("l").alias("language"), F.col("t").alias("topic"), F.col("z").alias(size)]
     if not plan:
-        return rows.select(F.col("d").alias(doc_id), F.col("s").alias(source), F.col("z").alias(size), F.lit(1).alias("copy")).where("false")
+        return rows.select(*shown, F.lit(1).alias("copy")).where("false")
     size_of = {(r["s"], r["l"], r["t"]): float(r["z"]) for r in sums}
     facts = [(*k, int(x), float(x - int(x))) for k, x in plan.items()]
     cells = F.broadcast(spark.createDataFrame(facts, "s string, l string, t string, times int, part double"))
-    draw = (F.pmod(F.xxhash64(F.lit(seed), "d"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    drawn = rows.join(cells, ["s", "l", "t"]).withColumn("q", F.when(F.col("part") > 0, draw / F.col("part")))
-    bucket = F.least(F.floor(F.col("q") * (BUCKETS / TOP)), F.lit(BUCKETS)).cast("int")
+    draw = (F.pmod(F.xxhash64(F.lit(seed), "d"), F.lit(1 << 40)) + 0.5) / (1 << 40)
+    place = F.least(draw / F.col("part") * (BUCKETS / TOP), F.lit(float(BUCKETS)))
+    drawn = rows.join(cells, ["s", "l", "t"]).withColumn("q", F.when(F.col("part") > 0, place))
+    bucket = F.floor("q").cast("int")
+    inner = F.floor((F.col("q") - F.floor("q")) * BUCKETS).cast("int")
+
+    def threshold(sums: list[tuple[int, int]], lack: float) -> tuple[int, float]:
+        """The first bucket that is too large for what is lacking, and what it must give."""
+        for b, z in sorted(sums):
+            if lack < z:
+                return b, lack
+            lack -= z
+        return BUCKETS + 1, 0.0
+
+    sources = sorted({k[0] for k in plan})
+    lacks = {s: sum((x - int(x)) * size_of[k] for k, x in plan.items() if k[0] == s) for s in sources}
     by_bucket = drawn.where("q is not null").groupBy("s", bucket.alias("b")).agg(F.sum("z").alias("z")).collect()  # sources x buckets
+    outer = {s: threshold([(r["b"], r["z"]) for r in by_bucket if r["s"] == s], lacks[s]) for s in sources}
+    edge = F.broadcast(spark.createDataFrame([(s, outer[s][0]) for s in sources], "s string, edge int"))  # one row per source
+    by_inner = drawn.join(edge, "s").where(bucket == F.col("edge")).groupBy("s", inner.alias("b")).agg(F.sum("z").alias("z")).collect()
     limits = []
-    for s in {k[0] for k in plan}:
-        lack = sum((x - int(x)) * size_of[k] for k, x in plan.items() if k[0] == s)
-        limit, more = 0, []
-        for b, z in sorted((r["b"], r["z"]) for r in by_bucket if r["s"] == s):
-            if lack < z:  # too long a document at the edge: the next ones that fit fill the rest
-                more.append(None)
-                if len(more) > EDGE:
-                    break
-                continue
-            lack -= z
-            if more:
-                more.append(b)
-            else:
-                limit = b + 1
-        limits.append((s, limit, [b for b in more if b is not None]))
-    limit = F.broadcast(spark.createDataFrame(limits, "s string, below int, more array<int>"))
-    chosen = (bucket < F.col("below")) | F.array_contains("more", bucket)
+    for s in sources:
+        mine = sorted((r["b"], r["z"]) for r in by_inner if r["s"] == s)
+        b, lack = threshold(mine, outer[s][1])
+        if b < BUCKETS and 2 * lack > dict(mine)[b]:  # nearer with it than without
+            b += 1
+        limits.append((s, outer[s][0], b))
+    limit = F.broadcast(spark.createDataFrame(limits, "s string, edge int, below int"))
+    chosen = (bucket < F.col("edge")) | ((bucket == F.col("edge")) & (inner < F.col("below")))
     copies = F.col("times") + F.when(F.col("q").isNotNull() & chosen, 1).otherwise(0)
     taken = drawn.join(limit, "s").withColumn("copies", copies).where("copies > 0")
-    return taken.select(
-        F.col("d").alias(doc_id), F.col("s").alias(source), F.col("z").alias(size), F.explode(F.sequence(F.lit(1), "copies")).alias("copy")
-    )
+    return taken.select(*shown, F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+
+
+def margins(mixed: DataFrame, source: str, size: str) -> DataFrame:
+    """What each source, language and topic reached: (margin, value, tokens, share)."""
+    by = mixed.groupBy(source, "language", "topic").agg(F.sum(size).alias("z"))  # one row per cell
+    pairs = F.array(*[F.struct(F.lit(name).alias("margin"), F.col(c).alias("value")) for name, c in (("source", source), ("language", "language"), ("topic", "topic"))])
+    long = by.select("z", F.inline(pairs)).groupBy("margin", "value").agg(F.sum("z").alias("tokens"))
+    return long.withColumn("share", F.col("tokens") / F.sum("tokens").over(Window.partitionBy("margin")))
 
 
 def mix_report(mixed: DataFrame, source: str, size: str, targets: DataFrame) -> DataFrame:

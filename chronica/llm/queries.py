@@ -18,19 +18,19 @@ LISTS = ["conditions", "procedures", "drugs"]
 BANDS = ["le20", "40_60", "ge80"]
 
 
-def _persons(spark: SparkSession, folder: str) -> DataFrame:
+def _persons(spark: SparkSession, folder: str, edges_per_task: int = 1_000_000) -> DataFrame:
     links = table(spark, folder, "subject_links").select(
         number_of(F.col("old_subject_id")).alias("a"), number_of(F.col("new_subject_id")).alias("b")
     )
     cohort = table(spark, folder, "cohort").select(
         "hadm_id", "subject_id", F.lower(F.trim(F.regexp_replace("dose_band", r"\s+", ""))).alias("dose_band")
     )
-    return splits.with_entity(cohort, number_of(F.col("subject_id")), links, "a", "b", "person")
+    return splits.with_entity(cohort, number_of(F.col("subject_id")), links, "a", "b", "person", edges_per_task)
 
 
-def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+def p1_found(spark: SparkSession, folder: str, edges_per_task: int = 1_000_000) -> DataFrame:
     """For each person with several admissions the least hadm_id with each of the others."""
-    pairs = splits.pairs_with_first(_persons(spark, folder), "hadm_id", "person")
+    pairs = splits.pairs_with_first(_persons(spark, folder, edges_per_task), "hadm_id", "person")
     return pairs.select(F.col("a").alias("hadm_id_a"), F.col("b").alias("hadm_id_b"))
 
 
@@ -45,6 +45,12 @@ def p1_shares(spark: SparkSession, folder: str) -> DataFrame:
     return splits.shares_reached(p1_splits(spark, folder), "dose_band", table(spark, folder, "split_targets"))
 
 
+def p1_together(spark: SparkSession, folder: str) -> DataFrame:
+    """Records and persons that were split, and how many persons lie in more than one split: none."""
+    by = p1_splits(spark, folder).where("person is not null").groupBy("person").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("split").alias("k"))
+    return by.agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("persons"), F.count_if(F.col("k") > 1).alias("torn"))
+
+
 def p3_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """All item pairs in at least 5 visits, with lift and conviction."""
     return cooccurrence.pair_counts(table(spark, folder, "visits"), "hadm_id", LISTS)
@@ -156,6 +162,11 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(p9_mix(spark, folder), "source", "tokens", table(spark, folder, "source_targets"))
 
 
+def p9_margins(spark: SparkSession, folder: str) -> DataFrame:
+    """The tokens and share that each source, language and topic reached."""
+    return mixing.margins(p9_mix(spark, folder), "source", "tokens")
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents whose text holds residue."""
     return residue.residue(table(spark, folder, "documents"), "doc_id", "text").where("is_residue").select("doc_id")
@@ -168,7 +179,7 @@ def p10_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        "p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p3_found": p3_found, "p3_pairs": p3_pairs, "p3_every_pair": p3_every_pair,
+        "p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p1_together": p1_together, "p3_found": p3_found, "p3_pairs": p3_pairs, "p3_every_pair": p3_every_pair,
         "p4_found": p4_found, "p7_found": p7_found, "p7_known": p7_known, "p8_pack": p8_pack, "p8_fill": p8_fill,
-        "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_kept": p10_kept,
+        "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_margins": p9_margins, "p10_found": p10_found, "p10_kept": p10_kept,
     }

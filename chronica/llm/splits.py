@@ -97,12 +97,12 @@ def components(edges: DataFrame, a: str, b: str, edges_per_task: int = 1_000_000
     return out.join(names, "top").select("node", "component")
 
 
-def with_entity(records: DataFrame, entity: Column, links: DataFrame, a: str, b: str, name: str = "entity") -> DataFrame:
+def with_entity(records: DataFrame, entity: Column, links: DataFrame, a: str, b: str, name: str = "entity", edges_per_task: int = 1_000_000) -> DataFrame:
     """``records`` with the component of their entity number in ``links``, else the number itself.
 
     A record whose number is null gets null: it is related to no other.
     """
-    found = components(links, a, b).select(F.col("node").alias("e_node"), F.col("component").alias("e_component"))
+    found = components(links, a, b, edges_per_task).select(F.col("node").alias("e_node"), F.col("component").alias("e_component"))
     # The record travels as one struct, so that none of its columns can clash.
     numbered = records.select(F.struct(*[F.col(f"`{c}`") for c in records.columns]).alias("e_record"), entity.alias("e_number"))
     joined = numbered.join(found, F.col("e_number") == F.col("e_node"), "left")

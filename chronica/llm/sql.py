@@ -8,7 +8,7 @@ NUMBER = """CASE WHEN regexp_full_match(regexp_replace({0}, '\\s', '', 'g'), '[0
        THEN CAST(regexp_extract(regexp_replace({0}, '\\s', '', 'g'), '^([0-9]+)\\.', 1) AS BIGINT)
      ELSE TRY_CAST(nullif(regexp_replace({0}, '[^0-9]', '', 'g'), '') AS BIGINT) END"""
 
-P1_FOUND = f"""
+_P1 = f"""
 WITH RECURSIVE e AS (
   SELECT {NUMBER.format('old_subject_id')} AS a, {NUMBER.format('new_subject_id')} AS b FROM subject_links
 ), edges AS (
@@ -17,15 +17,18 @@ WITH RECURSIVE e AS (
   SELECT a AS node, a AS seen FROM edges UNION SELECT r.node, x.b FROM reach r JOIN edges x ON r.seen = x.a
 ), component AS (
   SELECT node, min(seen) AS c FROM reach GROUP BY node
-), people AS (
-  SELECT DISTINCT h.hadm_id, coalesce(c.c, h.n) AS person
+), every AS (
+  SELECT h.hadm_id, coalesce(c.c, h.n) AS person
   FROM (SELECT hadm_id, {NUMBER.format('subject_id')} AS n FROM cohort) h LEFT JOIN component c ON h.n = c.node
-  WHERE h.n IS NOT NULL AND h.hadm_id IS NOT NULL
+  WHERE h.n IS NOT NULL
+), people AS (
+  SELECT DISTINCT hadm_id, person FROM every WHERE hadm_id IS NOT NULL
 ), firsts AS (
   SELECT person, min(hadm_id) AS a FROM people GROUP BY person
 )
-SELECT f.a AS hadm_id_a, p.hadm_id AS hadm_id_b FROM people p JOIN firsts f USING (person) WHERE p.hadm_id > f.a
 """
+P1_FOUND = _P1 + "SELECT f.a AS hadm_id_a, p.hadm_id AS hadm_id_b FROM people p JOIN firsts f USING (person) WHERE p.hadm_id > f.a"
+P1_TOGETHER = _P1 + "SELECT count(*) AS records, count(DISTINCT person) AS persons, 0::BIGINT AS torn FROM every"
 
 _P3 = """
 WITH raw AS (
@@ -49,6 +52,7 @@ SELECT item_a, item_b, n_ab, n_a, n_b, n_records,
   CASE WHEN n_ab < n_a THEN (1 - n_b::DOUBLE / n_records::DOUBLE) / (1 - n_ab::DOUBLE / n_a::DOUBLE) END AS conviction
 FROM scored
 """
+P3_EVERY_PAIR = P3_PAIRS.replace("HAVING count(*) >= 5", "")
 P3_FOUND = _P3 + """
 SELECT item_a, item_b FROM scored
 WHERE n_ab::HUGEINT * 1000 >= n_records AND n_ab::HUGEINT * n_records >= 3 * n_a::HUGEINT * n_b
@@ -96,5 +100,5 @@ P7_KNOWN = _P7 + "SELECT origin, record_id, item FROM every WHERE ok"
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_pairs": P3_PAIRS, "p4_found": P4_FOUND, "p7_found": P7_FOUND, "p7_known": P7_KNOWN,
+        "p1_found": P1_FOUND, "p1_together": P1_TOGETHER, "p3_found": P3_FOUND, "p3_pairs": P3_PAIRS, "p3_every_pair": P3_EVERY_PAIR, "p4_found": P4_FOUND, "p7_found": P7_FOUND, "p7_known": P7_KNOWN,
     }
