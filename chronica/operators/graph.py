@@ -101,13 +101,12 @@ def item_pairs(sets: DataFrame, items: str, themes: list[list[str]]) -> DataFram
     return shared.distinct()
 
 
-def meeting_paths(edges: DataFrame, pairs: DataFrame, length: int = 4, most: int = 20, frontier: int = 10_000) -> DataFrame:
+def meeting_paths(edges: DataFrame, pairs: DataFrame, length: int = 4, most: int = 20, frontier: int | None = None) -> DataFrame:
     """Directed walks between the ends of each pair, found from both ends: (source, target, nodes, relations).
 
     Each end is walked half the ``length``, in both directions of every edge, an inverse step marked
-    with ``-``; walks that meet are joined. The frontier of a pair and end is bounded by ``frontier``
-    walks, in the order of their nodes, as the walk explodes at hubs; where it never reaches the bound the result
-    is all simple walks of at most ``length`` edges. At most ``most`` per pair, the shortest first.
+    with ``-``; walks that meet are joined. All simple walks of at most ``length`` edges are found; at most ``most`` per pair come out, the shortest first.
+    As walks multiply at hubs, a caller may bound the walks of a pair and end by ``frontier``, in the order of their nodes, and lose those beyond it.
     """
     steps = both_ways(edges).select("a", "b", F.when(F.col("inverse"), F.concat(F.lit("-"), "relation")).otherwise(F.col("relation")).alias("r"))
 
@@ -118,7 +117,7 @@ def meeting_paths(edges: DataFrame, pairs: DataFrame, length: int = 4, most: int
             grown = now.withColumn("a", F.element_at("n", -1)).join(steps.withColumnRenamed("r", "step"), "a").where(~F.array_contains("n", F.col("b")))
             grown = grown.select("source", "target", F.array_append("n", F.col("b")).alias("n"), F.array_append("r", F.col("step")).alias("r"))
             order = Window.partitionBy("source", "target").orderBy(F.array_join("n", "\u001f"), F.array_join("r", "\u001f"))
-            now = grown.withColumn("w_rn", F.row_number().over(order)).where(F.col("w_rn") <= frontier).drop("w_rn")
+            now = grown if frontier is None else grown.withColumn("w_rn", F.row_number().over(order)).where(F.col("w_rn") <= frontier).drop("w_rn")
             every = every.unionByName(now)
         return every
 

@@ -45,3 +45,29 @@ def fit_trees(train: DataFrame, numeric: list[str], categorical: list[str], labe
     """Gradient-boosted trees."""
     model = GBTRegressor(featuresCol="features", labelCol=label, maxDepth=depth, maxIter=rounds, seed=7)
     return Pipeline(stages=[*features(numeric, categorical), model]).fit(train)
+
+
+def mean_error(fitted: PipelineModel, rows: DataFrame, label: str) -> float:
+    """Mean absolute error of a model over the rows that have a label."""
+    return fitted.transform(rows.where(F.col(label).isNotNull())).agg(F.avg(F.abs(F.col("prediction") - F.col(label)))).first()[0]
+
+
+def grid_search(train: DataFrame, dev: DataFrame, fit, settings: list, label: str) -> tuple[PipelineModel, DataFrame]:
+    """The model refitted on train and dev together under the setting with the least error on dev, and (setting, mae, is_best).
+
+    ``fit`` makes a model of rows and a setting. Of equal errors the first setting wins.
+    """
+    errors = [mean_error(fit(train, s), dev, label) for s in settings]
+    best = min(range(len(settings)), key=lambda k: (errors[k], k))
+    table = train.sparkSession.createDataFrame([(str(s), float(e), k == best) for k, (s, e) in enumerate(zip(settings, errors))], "setting string, mae double, is_best boolean")
+    return fit(train.unionByName(dev), settings[best]), table
+
+
+def cross_validated(rows: DataFrame, fold: str, folds: int, fit, label: str) -> DataFrame:
+    """(fold, n, mae): each fold scored by a model of the others."""
+    out = []
+    for k in range(folds):
+        test = rows.where(F.col(fold) == k)
+        n = test.where(F.col(label).isNotNull()).count()
+        out.append((k, n, mean_error(fit(rows.where(F.col(fold) != k)), test, label) if n else None))
+    return rows.sparkSession.createDataFrame(out, "fold bigint, n bigint, mae double")

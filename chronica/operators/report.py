@@ -4,34 +4,47 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronica.operators.quantiles import group_quantiles
+from chronica.operators.shards import HotGroups
+
 
 def funnel(rows: DataFrame, unit: str, steps: list[tuple[str, Column]]) -> DataFrame:
-    """(step, label, n_rows, n_units, dropped) of successive filters, in one pass over the rows."""
-    passed, aggs = F.lit(True), []
+    """(step, label, n_rows, n_units, dropped) of successive filters, in one pass over the rows.
+
+    Each unit is first reduced to how many of its rows pass every step, combined before the shuffle. A null unit is none.
+    """
+    passed, counts = F.lit(True), []
     for i, (_, cond) in enumerate(steps):
         passed = passed & F.coalesce(cond, F.lit(False))
-        aggs += [F.count_if(passed).alias(f"n{i}"), F.count_distinct(F.when(passed, F.col(unit))).alias(f"u{i}")]
-    one = rows.agg(*aggs)
+        counts.append(F.count_if(passed).alias(f"n{i}"))
+    by = rows.groupBy(unit).agg(*counts)
+    aggs = [c for i in range(len(steps)) for c in (F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}"), F.count_if((F.col(f"n{i}") > 0) & F.col(unit).isNotNull()).alias(f"u{i}"))]
+    one = by.agg(*aggs)
     entries = [F.struct(F.lit(i).alias("step"), F.lit(label).alias("label"), F.col(f"n{i}").alias("n_rows"), F.col(f"u{i}").alias("n_units")) for i, (label, _) in enumerate(steps)]
     flat = one.select(F.inline(F.array(*entries)))
     before = F.lag("n_rows").over(Window.orderBy("step"))  # one row per step
     return flat.withColumn("dropped", F.coalesce(before - F.col("n_rows"), F.lit(0)))
 
 
-def value_counts(rows: DataFrame, column: Column, name: str = "value", digits: int = 2) -> DataFrame:
-    """(value, n, percent) of a column, a null written as ``null``."""
+def value_counts(rows: DataFrame, column: Column, name: str = "value", digits: int = 2, top: int | None = None) -> DataFrame:
+    """(value, n, percent) of a column, a null written as ``null``; of the ``top`` most common ones, ties by value, if given."""
     by = rows.groupBy(F.coalesce(column.cast("string"), F.lit("null")).alias(name)).agg(F.count(F.lit(1)).alias("n"))
-    return by.withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(1))), digits))
+    every = max(1, rows.count())
+    if top is not None:
+        by = by.orderBy(F.col("n").desc(), name).limit(top)
+    return by.withColumn("percent", F.round(F.col("n") * 100.0 / every, digits))
 
 
-def quantiles(rows: DataFrame, keys: list[str], value: str, at: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
-    """Exact quantiles with linear interpolation, over counts of distinct values."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    points = ", ".join(f"{p}D" for p in at)
-    by = counts.groupBy(*keys).agg(F.sum("c").alias("n"), F.expr(f"percentile(`{value}`, array({points}), c)").alias("q"))
+def quantiles(
+    rows: DataFrame, keys: list[str], value: str, at: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9), most_rows: int = 500_000
+) -> DataFrame:
+    """Exact quantiles with linear interpolation, over counts of distinct values; groups of more than ``most_rows`` are cut by value."""
+    by = group_quantiles(rows, keys, F.col(value), at, HotGroups(rows, keys, most_rows))
     return by.select(*keys, "n", *[F.get("q", F.lit(i)).alias(f"p{round(p * 100):02d}") for i, p in enumerate(at)])
 
 
@@ -94,20 +107,25 @@ def best_threshold(rows: DataFrame, score: str, gold: Column, shards: int = 64)
 
 
 def bootstrap_f1(rows: DataFrame, row_id: str, predicted: Column, gold: Column, resamples: int = 2000, seed: int = 5) -> DataFrame:
-    """Median and 95 % bounds of F1 over Poisson resamples; each weight is a hash of row and resample.
+    """Median and 95 % bounds of F1 over Poisson resamples: (low, median, high).
 
-    Only the three kinds of rows that matter are counted, so each resample is one sum per partition.
+    F1 depends on how often the true positives, false positives and misses are drawn, and the weights of n rows, each Poisson with
+    mean 1, add up to one Poisson number with mean n. So the rows are counted once and each resample draws three numbers,
+    from a generator of its own. Rows without an id take no part; without any of the three F1 is 0.
     """
-    kinds = rows.select(F.col(row_id).alias("i"), (predicted & gold).cast("int").alias("tp"), (predicted & ~gold).cast("int").alias("fp"), (~predicted & gold).cast("int").alias("fn"))
-    kinds = kinds.where("tp + fp + fn > 0")
-    # Poisson(1) by its distribution function, up to 6.
-    steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582]
-    draw = F.pmod(F.xxhash64(F.lit(seed), "i", "b"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    weight = reduce(lambda a, s: a + F.when(draw > s, 1).otherwise(0), steps, F.lit(0))
-    each = kinds.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("w", weight)
-    sums = each.groupBy("b").agg(*[F.sum(F.col(k) * F.col("w")).alias(k) for k in ("tp", "fp", "fn")])
-    f1 = sums.select(F.when(F.col("tp") + F.col("fp") + F.col("fn") > 0, 2.0 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).otherwise(0.0).alias("f1"))
-    return f1.agg(*[F.expr(f"percentile(f1, {q}D)").alias(n) for q, n in ((0.025, "low"), (0.5, "median"), (0.975, "high"))])
+    counts = binary_scores(rows.where(F.col(row_id).isNotNull()), predicted, gold).first()
+    sizes = [counts["tp"], counts["fp"], counts["fn"]]
+
+    @F.pandas_udf("double")
+    def f1(b: pd.Series) -> pd.Series:
+        out = []
+        for n in b:
+            tp, fp, fn = np.random.default_rng([seed, int(n)]).poisson(sizes)
+            out.append(2.0 * tp / (2 * tp + fp + fn) if tp + fp + fn else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    drawn = rows.sparkSession.range(resamples).select(f1("id").alias("f1"))
+    return drawn.agg(*[F.percentile("f1", F.lit(q)).alias(n) for q, n in ((0.025, "low"), (0.5, "median"), (0.975, "high"))])
 
 
 def any_true(columns: list[Column]) -> Column:

@@ -126,6 +126,25 @@ def term_links(docs: DataFrame, doc_id: str, text: str, terms: list[tuple[str, s
     return docs.select(doc_id, F.explode(hits).alias("concept")).groupBy(doc_id, "concept").agg(F.count(F.lit(1)).alias("n"))
 
 
+def linked_terms(docs: DataFrame, doc_id: str, text: str, terms: DataFrame, most_words: int = 5) -> DataFrame:
+    """(doc_id, concept, term, n): terms of a dictionary of any size that stand in a text as whole words, the longest match winning.
+
+    ``terms`` (concept, term) is joined by equality with the runs of one to ``most_words`` words of each text, so neither a pattern nor a list
+    grows with it; terms of more words match nothing. Words are runs of letters, digits and marks on letters, without regard to case. A match
+    inside a longer one of another concept doesn't count. Matches are compared inside their text only. Null texts hold none.
+    """
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
+    known = terms.select("concept", "term", F.array_join(words(F.col("term")), " ").alias("l_run")).where("l_run <> ''").distinct()
+    each = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("l_doc"), words(F.col(text)).alias("w"))
+    at = each.select("l_doc", "w", F.posexplode("w").alias("s", "first"))
+    runs = at.select("l_doc", "s", F.explode(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("w", F.col("s") + 1, n), " ").alias("run"), (F.col("s") + n <= F.size("w")).alias("whole")))).alias("r"))
+    hits = runs.where("r.whole").join(known, F.col("r.run") == F.col("l_run")).select("l_doc", "concept", "term", "s", (F.col("s") + F.col("r.n")).alias("e"))
+    by = hits.groupBy("l_doc").agg(F.collect_list(F.struct("concept", "term", "s", "e")).alias("h"))
+    longer = lambda x: F.exists("h", lambda y: (y.s <= x.s) & (y.e >= x.e) & (y.e - y.s > x.e - x.s) & (y.concept != x.concept))
+    kept = by.select("l_doc", F.inline(F.filter("h", lambda x: ~longer(x))))
+    return kept.groupBy(F.col("l_doc").alias(doc_id), "concept", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
 def context(text: Column, term: str, words: int = 15) -> Column:
     """A term's first mention with at most so many words on either side."""
     pattern = rf"(?is)((?:\S+\s+){{0,{words}}}\S*\b{re.escape(term)}\b\S*(?:\s+\S+){{0,{words}}})"
@@ -148,3 +167,22 @@ def under_headings(blocks: DataFrame, source: str, order: str, level: str, text:
         names.append(F.when(live, F.col(f"h_{k}.t")))
     path = F.filter(F.array(*names), lambda x: x.isNotNull())
     return rows.where(F.col(level) == 0).select(*blocks.columns, path.alias("section_path"))
+
+
+def table_units(passage: Column) -> Column:
+    """The units of a table passage: each sentence of each line after the first, behind the first line as its header; a table of one line is its own unit."""
+    lines = F.filter(F.split(passage, "\n"), lambda x: F.trim(x) != "")
+    head = F.get(lines, F.lit(0))
+    rest = F.flatten(F.transform(F.slice(lines, 2, 1_000_000), sentences_of))
+    return F.when(F.size(rest) > 0, F.transform(rest, lambda s: F.concat(head, F.lit(" || "), s))).otherwise(F.array(passage))
+
+
+def sentences_of(line: Column) -> Column:
+    """``sentences`` as a function of one element of an array."""
+    return sentences(line)
+
+
+def header_basis(passage: Column, words: str = r"per day|/day|daily|a day|24 ?h") -> Column:
+    """``day`` where the header of a table cell, the text before its colon, speaks of a day; else null."""
+    cell = F.element_at(F.split(passage, r"\|"), -1)
+    return F.when(F.contains(cell, F.lit(":")) & F.split(cell, ":")[0].rlike(f"(?i){words}"), "day")

@@ -54,18 +54,15 @@ def leak_by_window(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def exists_theta(spark: SparkSession, folder: str) -> DataFrame:
-    events = _events(spark, folder).select("user_id", F.col("ts").alias("e_ts"), F.col("event_type").alias("e_type"))
+    clicks = _events(spark, folder).where("event_type = 'click'")
     rows = _events(spark, folder).where("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    hour = F.make_interval(hours=F.lit(1))
-    when = (F.col("e_type") == "click") & (F.col("e_ts") >= F.col("ts") - hour * 2) & (F.col("e_ts") <= F.col("ts") + hour)
-    return temporal.exists_when(rows, events, "user_id", when).select("event_id", "user_id")
+    return temporal.exists_within(rows, clicks, "user_id", "ts", "ts", 2, 1).where("exists_within").select("event_id", "user_id")
 
 
 def absent_theta(spark: SparkSession, folder: str) -> DataFrame:
-    events = _events(spark, folder).select("user_id", F.col("ts").alias("e_ts"), F.col("event_type").alias("e_type"))
+    errors = _events(spark, folder).where("event_type = 'error'")
     rows = _events(spark, folder).where("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    when = (F.col("e_type") == "error") & (F.col("e_ts") > F.col("ts")) & (F.col("e_ts") <= F.col("ts") + F.make_interval(hours=F.lit(24)))
-    return temporal.absent_when(rows, events, "user_id", when).select("event_id", "user_id")
+    return temporal.exists_within(rows, errors, "user_id", "ts", "ts", 0, 24, after_back=True).where("not exists_within").select("event_id", "user_id")
 
 
 def _spans(spark: SparkSession, folder: str) -> DataFrame:

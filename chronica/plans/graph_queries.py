@@ -197,6 +197,12 @@ def term_links(spark: SparkSession, folder: str) -> DataFrame:
     return text.term_links(table(spark, folder, "documents"), "doc_id", "text", TERMS)
 
 
+def linked_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Terms of a dictionary table in the passages, the longest match winning."""
+    terms = spark.createDataFrame(TERMS, "concept string, term string")
+    return text.linked_terms(table(spark, folder, "documents"), "doc_id", "text", terms, 4)
+
+
 def cosine_search(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "embeddings").select("vec_id", "embedding")
     out = vectors.search(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 5)
@@ -208,6 +214,63 @@ def mmr_select(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.diverse(e, "label", "vec_id", "embedding", "relevance")
 
 
+def vectors_above(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of a query vector and any other with a cosine of at least 0.2."""
+    e = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return vectors.pairs_above(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 0.2).select("query", "row", F.round("cosine", 6).alias("cosine"))
+
+
+def centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """How much the first vector of each label is like the centroid of the label's even ones."""
+    e = table(spark, folder, "embeddings").where("label is not null")
+    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
+    out = vectors.centroid_likeness(e.where("vec_id % 2 = 0"), "label", "embedding", first, "q")
+    return out.select("label", F.round("likeness", 6).alias("likeness"))
+
+
+def paired_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Part names against their types, each through an encoder of its own."""
+    p = table(spark, folder, "part").select("p_partkey", "p_name", "p_type")
+    out = vectors.paired_scores(p, "p_name", "p_type", lambda: vectors.hash_embedder(32), lambda: vectors.hash_embedder(32))
+    return out.select("p_partkey", F.round("score", 6).alias("score"))
+
+
+def met_walks(spark: SparkSession, folder: str) -> DataFrame:
+    """Walks of at most four edges between suppliers and nations, met half way."""
+    pairs = table(spark, folder, "supplier").where("s_suppkey % 10 = 0").select(F.col("s_name").alias("source"), F.concat(F.lit("NATION_"), F.col("s_suppkey") % 25).alias("target"))
+    out = graph.meeting_paths(_edges(spark, folder), pairs, 4, 20)
+    return out.select("source", "target", F.array_join("nodes", ">").alias("nodes"), F.array_join("relations", ">").alias("relations"))
+
+
+def top_values(spark: SparkSession, folder: str) -> DataFrame:
+    from chronica.operators import report
+
+    return report.value_counts(table(spark, folder, "part"), F.col("p_name"), "name", 3, 10)
+
+
+def table_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Made-up tables of parts as units behind their header, and what their header says of the basis."""
+    t = F.concat("p_brand", F.lit("\nGive "), "p_name", F.lit(". Then stop.\n\nOnce, e.g. "), F.col("p_size").cast("string"), F.lit(" mg."))
+    cell = F.concat(F.lit("Stage: 4 | "), F.when(F.col("p_size") % 2 == 0, "Daily dose: ").otherwise("Dose: "), F.col("p_size").cast("string"))
+    p = table(spark, folder, "part")
+    return p.select("p_partkey", F.posexplode(text.table_units(t)).alias("n", "unit"), F.coalesce(text.header_basis(cell), F.lit("dose")).alias("basis"))
+
+
+def searched_ridge(spark: SparkSession, folder: str) -> DataFrame:
+    """The penalty of a ridge regression chosen by its error on dev."""
+    l = table(spark, folder, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_returnflag", "l_extendedprice")
+    fit = lambda rows, penalty: model.fit_ridge(rows, ["l_quantity", "l_discount"], ["l_returnflag"], "l_extendedprice", penalty)
+    _, table_of = model.grid_search(l.where("l_orderkey % 5 > 1"), l.where("l_orderkey % 5 = 1"), fit, [0.1, 10.0, 1000.0], "l_extendedprice")
+    return table_of.select("setting", F.round("mae", 1).alias("mae"), "is_best")
+
+
+def folds_of_ridge(spark: SparkSession, folder: str) -> DataFrame:
+    """Errors of a ridge regression in three folds."""
+    l = table(spark, folder, "lineitem").select((F.col("l_orderkey") % 3).alias("fold"), "l_quantity", "l_discount", "l_returnflag", "l_extendedprice")
+    fit = lambda rows: model.fit_ridge(rows, ["l_quantity", "l_discount"], ["l_returnflag"], "l_extendedprice", 1.0)
+    return model.cross_validated(l, "fold", 3, fit, "l_extendedprice").withColumn("mae", F.round("mae", 1))
+
+
 def vector_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Complete-linkage clusters of the vectors of each label."""
     e = table(spark, folder, "embeddings")
@@ -263,6 +326,10 @@ SQL = {
       SELECT doc_id, n, {_BOUND} AS comparator, CASE WHEN basis = '' THEN 'dose' ELSE basis END AS basis, l::DOUBLE * f AS low_mg, coalesce(TRY_CAST(nullif(h, '') AS DOUBLE), l::DOUBLE) * f AS high_mg FROM x""",
     "term_links": f"""WITH t(term, concept) AS (VALUES {_TERMS}), h AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '(?i)\\b({_ANY})\\b', 1))) AS term FROM documents)
       SELECT doc_id, concept, count(*) AS n FROM h JOIN t USING (term) GROUP BY ALL""",
+    "linked_terms": f"""WITH t(term, concept) AS (VALUES {_TERMS}), d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
+      s AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM d), r AS (SELECT doc_id, s, s + n AS e, array_to_string(w[s:s + n - 1], ' ') AS run FROM s, range(1, 5) k(n) WHERE s + n - 1 <= len(w)),
+      h AS (SELECT doc_id, s, e, concept, term FROM r JOIN t ON r.run = t.term)
+      SELECT doc_id, concept, term, count(*) AS n FROM h WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.doc_id = h.doc_id AND g.s <= h.s AND g.e >= h.e AND g.e - g.s > h.e - h.s AND g.concept <> h.concept) GROUP BY ALL""",
     "ladder_filter": "SELECT l_quantity, count(*) AS n FROM lineitem WHERE l_quantity IN (1, 5, 10, 20, 25, 40, 50) AND l_quantity % 5 = 0 GROUP BY 1",
     "plausible_rows": """SELECT l_returnflag, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem WHERE coalesce(l_quantity BETWEEN 5 AND 45, true)
       AND coalesce(l_discount BETWEEN 0.01 AND 0.09, true) AND coalesce(l_extendedprice BETWEEN 1000 AND 80000, true) GROUP BY 1""",
@@ -305,6 +372,23 @@ SQL = {
     "protect_names": f"""WITH {_NAMES}, p AS (SELECT canonical, count(*) AS k, min(item) AS first FROM m WHERE item IN ('Small Ring', 'Red Widget') GROUP BY 1)
       SELECT item, CASE WHEN item IN ('Small Ring', 'Red Widget') THEN item WHEN k = 1 THEN first ELSE m.canonical END AS canonical FROM m LEFT JOIN p USING (canonical)""",
     "dedupe_texts": "SELECT substr(sha256(text), 1, 24) AS text_key, min(doc_id) AS first_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1",
+    "vectors_above": """SELECT a.vec_id AS query, b.vec_id AS row, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+      WHERE a.vec_id % 20 = 0 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2""",
+    "centroids": """WITH x AS (SELECT label, unnest(range(len(embedding))) AS n, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label IS NOT NULL AND vec_id % 2 = 0),
+      m AS (SELECT label, n, avg(x) AS x FROM x GROUP BY ALL), c AS (SELECT label, list(x ORDER BY n) AS c FROM m GROUP BY label), q AS (SELECT label, arg_min(embedding, vec_id) AS q FROM embeddings WHERE label IS NOT NULL GROUP BY label)
+      SELECT q.label, round(coalesce(greatest(0.0, least(1.0, list_cosine_similarity(c, q::DOUBLE[]))), 0.0)::DOUBLE, 6) AS likeness FROM q LEFT JOIN c USING (label)""",
+    "met_walks": """WITH e AS (SELECT s_name AS a, 'NATION_' || s_nationkey AS b, 'in' AS rel FROM supplier UNION ALL SELECT 'NATION_' || n_nationkey, r_name, 'part of' FROM nation JOIN region ON n_regionkey = r_regionkey),
+      s AS (SELECT a, b, rel AS r FROM e UNION ALL SELECT b, a, '-' || rel FROM e), p AS (SELECT DISTINCT s_name AS src, 'NATION_' || (s_suppkey % 25) AS dst FROM supplier WHERE s_suppkey % 10 = 0),
+      w1 AS (SELECT src, dst, [src, b] AS n, [r] AS r FROM p JOIN s ON a = src),
+      w2 AS (SELECT src, dst, list_append(n, b) AS n, list_append(w1.r, s.r) AS r FROM w1 JOIN s ON a = n[2] WHERE n[2] <> dst AND NOT list_contains(n, b)),
+      w3 AS (SELECT src, dst, list_append(n, b) AS n, list_append(w2.r, s.r) AS r FROM w2 JOIN s ON a = n[3] WHERE n[3] <> dst AND NOT list_contains(n, b)),
+      w4 AS (SELECT src, dst, list_append(n, b) AS n, list_append(w3.r, s.r) AS r FROM w3 JOIN s ON a = n[4] WHERE n[4] <> dst AND NOT list_contains(n, b)),
+      f AS (SELECT DISTINCT * FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3 UNION ALL SELECT * FROM w4) WHERE n[len(n)] = dst)
+      SELECT src AS source, dst AS target, array_to_string(n, '>') AS nodes, array_to_string(r, '>') AS relations FROM f
+      QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY len(n), array_to_string(n, chr(31)), array_to_string(r, chr(31))) <= 20""",
+    "top_values": "SELECT coalesce(p_name, 'null') AS name, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM part), 3) AS percent FROM part GROUP BY 1 ORDER BY n DESC, name LIMIT 10",
+    "table_units": """WITH u AS (SELECT p_partkey, p_size, unnest([0, 1, 2]) AS n, unnest([p_brand || ' || Give ' || p_name || '.', p_brand || ' || Then stop.', p_brand || ' || Once, e.g. ' || p_size || ' mg.']) AS unit FROM part)
+      SELECT p_partkey, n::INT AS n, unit, CASE WHEN p_size % 2 = 0 THEN 'day' ELSE 'dose' END AS basis FROM u""",
     "cosine_search": """WITH x AS (SELECT a.vec_id AS query, b.vec_id AS row, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
       SELECT query, row, round(c, 6) AS cosine, row_number() OVER (PARTITION BY query ORDER BY round(c, 12) DESC, row) AS rank FROM x QUALIFY rank <= 5""",
 }
@@ -313,7 +397,7 @@ QUERIES: list[Query] = [
     ladder_filter, plausible_rows, right_closed_bins, case_tiers, filtration_rates, enrich_left, prefix_backoff, first_match_class, versioned_prefix_flag,
     stratified_split, temporal_split, quota_sample, split_leakage, cooccurrence_topk, distinct_sets, jaccard_knn, near_dup_sets, merge_edges,
     shortest_paths_3hop, path_triples, path_score_topk, canonical_names, protect_names, sentence_units, chunk_passages, quantity_mentions, dedupe_texts,
-    term_links, cosine_search, mmr_select, vector_clusters, silhouette_search, ridge_errors,
+    term_links, linked_terms, cosine_search, mmr_select, vectors_above, centroids, paired_texts, met_walks, top_values, table_units, searched_ridge, folds_of_ridge, vector_clusters, silhouette_search, ridge_errors,
 ]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronica.functions.ids import number_of
 from chronica.functions.times import micros
-from chronica.operators import history, profiles, report, sampling
+from chronica.operators import history, profiles, report, sampling, temporal
 from chronica.session import table
 from chronica.sources import external
 
@@ -51,7 +51,7 @@ def latest_visible_lab(spark: SparkSession, folder: str) -> DataFrame:
 def late_results(spark: SparkSession, folder: str) -> DataFrame:
     """Per item, results drawn before the decision but stored only afterwards: what a leak would use."""
     labs = table(spark, folder, "labevents").select(number_of(F.col("subject_id")).alias("s"), "itemid", "charttime", "storetime")
-    met = _targets(spark, folder).join(labs, "s").where((F.col("charttime") < F.col("t_dec")) & (F.col("charttime") >= F.col("t_dec") - F.make_interval(hours=F.lit(24))))
+    met = temporal.join_within(_targets(spark, folder), labs, "s", "t_dec", "charttime", 24)
     return met.groupBy("itemid").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("storetime") >= F.col("t_dec")).alias("late"))
 
 

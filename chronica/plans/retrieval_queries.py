@@ -55,6 +55,27 @@ def probe_report(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.probe_report(base, graph.shortest_paths(wide, pairs, 3, 5), pairs, "cluster:")
 
 
+def rank_probe(spark: SparkSession, folder: str) -> DataFrame:
+    """What adding regions as nodes does to the paths that are kept."""
+    edges = _edges(spark, folder).withColumn("flow", F.col("relation"))
+    wide = edges.withColumn("tail", F.when(F.col("relation") == "part of", F.concat(F.lit("cluster:"), "tail")).otherwise(F.col("tail")))
+    base = retrieval.retrieve(edges.where("relation = 'in'"), _pairs(spark, folder), "query", "flow", 0.5)
+    return retrieval.rank_report(base, retrieval.retrieve(wide, _pairs(spark, folder), "query", "flow", 0.5), "cluster:")
+
+
+def supported_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """Kept paths of each episode picked until they hold the words of its first pair, with how the picking ended."""
+    from chronica.operators import vectors
+
+    sentence = retrieval.path_sentence(F.col("triples"), F.col("nodes"))
+    rows = _kept(spark, folder).where("aspect = 'risk'").select("episode", F.array_join("nodes", ">").alias("path"), sentence.alias("sentence"))
+    vec = vectors.embedded(rows, "sentence", vectors.hash_embedder(32))
+    asked = _pairs(spark, folder).groupBy("episode").agg(F.min("query").alias("hypothesis"))
+    pool = rows.join(vec, F.col("sentence") == F.col("text")).join(asked, "episode").withColumn("q", F.col("vec"))
+    out = retrieval.supported_paths(pool, "episode", "path", "sentence", "vec", "q", "hypothesis", lambda: retrieval.word_overlap, enough=0.8)
+    return retrieval.selection_report(out)
+
+
 def loop_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Sources with a passage that names a loop diuretic."""
     return retrieval.mentions_any(table(spark, folder, "documents"), "source_id", "text", "furosemid|bumetanid|torsemid|torasemid")
@@ -401,7 +422,7 @@ SQL = {
 }
 
 QUERIES: list[Query] = [
-    retrieved_paths, retrieval_report, path_overlap, endpoint_pairs, probe_report, loop_clusters, open_clusters, property_graph, graph_vocabulary, described_types,
+    retrieved_paths, retrieval_report, path_overlap, endpoint_pairs, probe_report, rank_probe, supported_selection, loop_clusters, open_clusters, property_graph, graph_vocabulary, described_types,
     cluster_shape, weighted_precision, usage_totals, corpus_shape, cell_sample, bare_terms, plain_terms, glyphs, left_out_sections, condition_facts, search_queries, search_units,
     junk_reasons, simple_graph, gated_codes, item_pairs, code_misses, first_code_wins, one_to_one_join, names_by_code, grounded_triples, vocabulary_names, vocabulary_types,
     vocabulary_tree, vocabulary_index, vocabulary_relations, child_terms, passage_paths, masked_texts, term_context,
