@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronica.operators.ranks import sharded_rank
-from chronica.session import cut
+from chronica.operators.shards import HotGroups, running_sums
+from chronica.session import cut, parallelism
 
 Run = tuple[int, int]  # first number, count
 
@@ -83,7 +83,7 @@ def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 
 
 def pack(
-    items: DataFrame, item_id: str, size: str, capacities: list[tuple[str, int]], shards: int = 256
+    items: DataFrame, item_id: str, size: str, capacities: list[tuple[str, int]], shards: int | None = None, most_rows: int = 500_000
 ) -> DataFrame:
     """Containers of each capacity for all items: (pack_name, item_id, piece, piece_size, container).
 
@@ -93,60 +93,64 @@ def pack(
     expected to differ; of equal ones each row is packed. Container numbers run from 0 in each
     pack. An empty table gives an empty table.
 
+    Full pieces are numbered by ``shards`` shards (by default as many as shuffle partitions, at least 256).
+
     The number of items by size is all that decides the containers, and sizes are whole numbers up
     to the capacity: the sweeps of ``best_fit_runs`` run over at most that many classes, a bound that
-    does not grow with the data. The items stay distributed: they are numbered inside their size by
-    shards of a hash, and a binary search in the runs of their size gives each its container. What is sent to the
+    does not grow with the data. The items stay distributed: for all packs at once they are numbered inside their size in the order of
+    a hash, a size of more than ``most_rows`` items by shards of it, and a binary search in the runs of their size gives each its container. What is sent to the
     tasks are the runs, whose number depends on the capacity and the number of sweeps.
     """
     spark = items.sparkSession
-    base = cut(items.select(F.col(item_id).alias("i"), F.col(size).cast("bigint").alias("z")))
-    packs = []
-    for name, capacity in capacities:
-        sized = base.where("z > 0").select("i", (F.col("z") % capacity).alias("z"), F.floor(F.col("z") / capacity).alias("full"))
-        sized = cut(sharded_rank(sized, ["z"], [F.col("i")], F.pmod(F.xxhash64("i"), F.lit(shards)), "n"))
-        histogram = {r["z"]: r["c"] for r in sized.groupBy("z").agg(F.count(F.lit(1)).alias("c")).collect()}
-        histogram.pop(0, None)
-        runs = best_fit_runs(histogram, capacity)
-        first: dict[int, list[int]] = defaultdict(list)
-        start: dict[int, list[int]] = defaultdict(list)
+    if not capacities:
+        return items.select(F.lit("").alias("pack_name"), item_id, F.lit(0).alias("piece"), F.col(size).cast("bigint").alias("piece_size"), F.lit(0).cast("bigint").alias("container")).where("false")
+    # An item of a pack as its full pieces and a remainder; all packs are numbered, counted and written together.
+    packs = F.array(*[F.struct(F.lit(p).alias("pack"), F.lit(int(capacity)).cast("bigint").alias("capacity")) for p, (_, capacity) in enumerate(capacities)])
+    whole = cut(items.select(F.col(item_id).alias("i"), F.col(size).cast("bigint").alias("whole")))  # sizes are counted once
+    each = whole.select("i", "whole", F.inline(packs)).withColumns({"z": F.greatest(F.col("whole"), F.lit(0)) % F.col("capacity"), "full": F.floor(F.greatest(F.col("whole"), F.lit(0)) / F.col("capacity"))})
+    shard = F.pmod(F.xxhash64("i"), F.lit(shards or max(256, parallelism(spark))))
+    mark = F.xxhash64("i")
+    numbered = running_sums(each, ["pack", "z"], [mark, F.col("i")], {"n": F.lit(1)}, mark, HotGroups(each, ["pack", "z"], most_rows))
+    sized = cut(numbered.withColumn("n", F.col("n") - 1))
+    histogram: list[dict[int, int]] = [{} for _ in capacities]
+    for r in sized.where("z > 0").groupBy("pack", "z").agg(F.count(F.lit(1)).alias("c")).collect():  # a row per size below each capacity
+        histogram[r["pack"]][r["z"]] = r["c"]
+    first: dict[int, list[int]] = defaultdict(list)  # by size and pack as one number
+    start: dict[int, list[int]] = defaultdict(list)
+    opened = []
+    for p, (_, capacity) in enumerate(capacities):
         containers = 0
-        for z, rank, container, n in runs:
-            first[z].append(rank)
-            start[z].append(container)
+        for z, rank, container, n in best_fit_runs(histogram[p], capacity):
+            first[z * len(capacities) + p].append(rank)
+            start[z * len(capacities) + p].append(container)
             containers = max(containers, container + n)
-        container = _container_of(spark, first, start)
-        part = sized.where("z > 0").select(
-            F.lit(name).alias("pack_name"), "i", F.col("full").cast("int").alias("piece"), F.col("z").alias("piece_size"), container("z", "n").alias("container")
-        )
-        # Full pieces: their containers follow those of the others, in the order of a running sum by shard.
-        whole = sized.where("full > 0").select("i", "full", F.pmod(F.xxhash64("i"), F.lit(shards)).alias("shard"))
-        whole = _running_start(whole, "full", "shard", "i").select(
-            F.lit(name).alias("pack_name"), "i", F.explode(F.sequence(F.lit(0), (F.col("full") - 1).cast("int"))).alias("piece"), "start"
-        )
-        whole = whole.select("pack_name", "i", "piece", F.lit(capacity).cast("bigint").alias("piece_size"), (F.col("start") + F.col("piece") + containers).alias("container"))
-        nothing = base.where("z is null or z <= 0").select(F.lit(name).alias("pack_name"), "i", F.lit(0).alias("piece"), F.col("z").alias("piece_size"), F.lit(None).cast("bigint").alias("container"))
-        packs.append(part.unionByName(whole).unionByName(nothing))
-    if not packs:
-        return base.select(F.lit("").alias("pack_name"), F.col("i").alias(item_id), F.lit(0).alias("piece"), F.col("z").alias("piece_size"), F.lit(0).cast("bigint").alias("container")).where("false")
-    out = packs[0]
-    for other in packs[1:]:
-        out = out.unionByName(other)
-    return out.withColumnRenamed("i", item_id)
+        opened.append(containers)
+    name = F.element_at(F.array(*[F.lit(n) for n, _ in capacities]), F.col("pack") + 1).alias("pack_name")
+    container = _container_of(spark, first, start)
+    rest = sized.where("z > 0").select(name, "i", F.col("full").cast("int").alias("piece"), F.col("z").alias("piece_size"), container(F.col("z") * len(capacities) + F.col("pack"), F.col("n")).alias("container"))
+    # Full pieces: their containers follow those of the others, in the order of a running sum by shard.
+    large = sized.where("full > 0").select("pack", "i", "capacity", "full", shard.alias("shard"))
+    after = F.element_at(F.array(*[F.lit(n).cast("bigint") for n in opened]), F.col("pack") + 1)
+    large = _running_start(large, ["pack"], "full", "shard", "i").select(
+        "pack", "i", "capacity", F.explode(F.sequence(F.lit(0), (F.col("full") - 1).cast("int"))).alias("piece"), (after + F.col("start")).alias("start")
+    )
+    large = large.select(name, "i", "piece", F.col("capacity").alias("piece_size"), (F.col("start") + F.col("piece")).alias("container"))
+    nothing = sized.where("whole is null or whole <= 0").select(name, "i", F.lit(0).alias("piece"), F.col("whole").alias("piece_size"), F.lit(None).cast("bigint").alias("container"))
+    return rest.unionByName(large).unionByName(nothing).withColumnRenamed("i", item_id)
 
 
 def _container_of(spark: SparkSession, first: dict[int, list[int]], start: dict[int, list[int]]):
-    """A function from size and rank to the container of the run that holds the rank."""
-    shared = spark.sparkContext.broadcast({z: (np.array(first[z]), np.array(start[z])) for z in first})
+    """A function from a class (size and pack as one number) and rank to the container of the run that holds the rank."""
+    shared = spark.sparkContext.broadcast({key: (np.array(first[key]), np.array(start[key])) for key in first})
 
     @F.pandas_udf("bigint")
-    def container(z: pd.Series, n: pd.Series) -> pd.Series:
-        out = np.full(len(z), -1, dtype="int64")
-        sizes, ranks = z.to_numpy(), n.to_numpy()
-        for value in np.unique(sizes):
-            if value in shared.value:
-                at = np.flatnonzero(sizes == value)
-                a, b = shared.value[value]
+    def container(classes: pd.Series, n: pd.Series) -> pd.Series:
+        out = np.full(len(n), -1, dtype="int64")
+        keys, ranks = classes.to_numpy(), n.to_numpy()
+        order = np.argsort(keys, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1) if len(order) else []:
+            if keys[at[0]] in shared.value:
+                a, b = shared.value[keys[at[0]]]
                 i = np.searchsorted(a, ranks[at], side="right") - 1
                 out[at] = b[i] + ranks[at] - a[i]
         return pd.Series(out)
@@ -154,15 +158,15 @@ def _container_of(spark: SparkSession, first: dict[int, list[int]], start: dict[
     return container
 
 
-def _running_start(df: DataFrame, amount: str, shard: str, order: str) -> DataFrame:
-    """``df`` with the sum of ``amount`` over all rows before, by shard then ``order``, as start."""
-    sums = df.groupBy(shard).agg(F.sum(amount).alias("s_sum"))
-    before = Window.orderBy("s_shard").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per shard: a fixed number.
-    starts = sums.select(F.col(shard).alias("s_shard"), "s_sum").withColumn("s_start", F.coalesce(F.sum("s_sum").over(before), F.lit(0)))
-    inside = Window.partitionBy(shard).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def _running_start(df: DataFrame, keys: list[str], amount: str, shard: str, order: str) -> DataFrame:
+    """``df`` with the sum of ``amount`` over all rows of its keys before it, by shard then ``order``, as start."""
+    sums = df.groupBy(*keys, shard).agg(F.sum(amount).alias("s_sum"))
+    before = Window.partitionBy(*keys).orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per key and shard: a number set by the shards.
+    starts = sums.select(*keys, shard, F.coalesce(F.sum("s_sum").over(before), F.lit(0)).alias("s_start"))
+    inside = Window.partitionBy(*keys, shard).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     own = F.coalesce(F.sum(amount).over(inside), F.lit(0))
-    return df.withColumn("s_own", own).join(starts, F.col(shard) == F.col("s_shard")).withColumn("start", F.col("s_start") + F.col("s_own"))
+    return df.withColumn("s_own", own).join(starts, [*keys, shard]).withColumn("start", F.col("s_start") + F.col("s_own"))
 
 
 def fill_report(packed: DataFrame, capacities: list[tuple[str, int]]) -> DataFrame:

@@ -25,3 +25,11 @@ def test_cells_are_bounded_whatever_the_data_hold(spark):
     assert got["k"] == 1 and abs(got["z"] - 100_000) <= 97
     by = {(r["margin"], r["value"]): r["share"] for r in mixing.margins(out, "src", "z").collect()}
     assert by == {("source", "s"): 1.0, ("language", "other"): 1.0, ("topic", "other"): 1.0}
+
+
+def test_hot_sizes_are_packed_alike(spark):
+    from chronica.llm import packing
+
+    df = spark.range(4000).select(F.col("id"), (F.col("id") % 7 + F.when(F.col("id") % 500 == 0, 60).otherwise(0)).alias("z"))
+    a, b = (packing.pack(df, "id", "z", [("ten", 10), ("forty", 40)], most_rows=m) for m in (50, 10**6))
+    assert rows_of(a) == rows_of(b)
