@@ -150,6 +150,20 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p8_pack(spark, folder), _capacities(spark, folder))
 
 
+def p8_held(spark: SparkSession, folder: str) -> DataFrame:
+    """Per pack the documents, containers over their capacity, and documents whose pieces aren't theirs: none."""
+    caps = _capacities(spark, folder)
+    sizes = _sizes(spark, folder).select("doc_id", "tokens")
+    packed = packing.pack(sizes, "doc_id", "tokens", caps)
+    limit = F.element_at(F.create_map(*[F.lit(x) for kv in caps for x in kv]), F.col("pack_name"))
+    over = packed.where("container is not null").groupBy("pack_name", "container").agg(F.sum("piece_size").alias("z")).groupBy("pack_name").agg(F.count_if(F.col("z") > limit).alias("over_full"))
+    whole = packed.groupBy("pack_name", "doc_id").agg(F.coalesce(F.sum("piece_size"), F.lit(0)).alias("z"), F.count(F.lit(1)).alias("k"))
+    torn = whole.join(sizes, "doc_id").groupBy("pack_name").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if((F.col("z") != F.coalesce("tokens", F.lit(0))) | ((F.col("k") > 1) & (F.col("tokens") <= limit))).alias("torn")
+    )
+    return torn.join(over, "pack_name").select("pack_name", "documents", "over_full", "torn")
+
+
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Copies of documents such that each source has its target share of all tokens."""
     targets = [(r["source"], float(r["target_share"]), int(r["max_repeats"])) for r in table(spark, folder, "source_targets").collect()]
@@ -180,6 +194,6 @@ def p10_kept(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p1_together": p1_together, "p3_found": p3_found, "p3_pairs": p3_pairs, "p3_every_pair": p3_every_pair,
-        "p4_found": p4_found, "p7_found": p7_found, "p7_known": p7_known, "p8_pack": p8_pack, "p8_fill": p8_fill,
+        "p4_found": p4_found, "p7_found": p7_found, "p7_known": p7_known, "p8_pack": p8_pack, "p8_fill": p8_fill, "p8_held": p8_held,
         "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_margins": p9_margins, "p10_found": p10_found, "p10_kept": p10_kept,
     }

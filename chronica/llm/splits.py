@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronica.operators.ranks import sharded_rank
+from chronica.operators.shards import HotGroups, running_sums
 from chronica.session import cut
 
 
@@ -148,8 +148,9 @@ def _assign(shapes: list[tuple[list[int], int]], shares: list[float]) -> list[li
 
 
 def split_by_entity(
-    records: DataFrame, record_id: str, entity: str, stratum: str, strata: list[str], targets: list[tuple[str, float]]
-) -> DataFrame:
+    records: DataFrame, record_id: str, entity: str, stratum: str, strata: list[str], targets: list[tuple[str, float]],
+    most_rows: int = 500_000,
+) -> DataFrame:
     """``record_id``, ``entity``, ``stratum`` and the split of each record.
 
     All records of an entity are in one split; a record without an entity is an entity by itself,
@@ -162,8 +163,8 @@ def split_by_entity(
     the greedy pass runs over classes, largest first. Their number is bounded by the number of
     different count vectors, not by the number of entities (an entity of k records needs k rows,
     so at most rows/k are that large). What comes to the driver is one row per count vector, and a class has at most one run of
-    numbers per split. Entities are numbered inside their class by shards of a
-    hash, and the numbers are compared with the runs of the class.
+    numbers per split. Entities are numbered inside their class in the order of a
+    hash, a class of more than ``most_rows`` by shards of it, and the numbers are compared with the runs of the class.
     """
     spark = records.sparkSession
     total = sum(share for _, share in targets)
@@ -186,7 +187,7 @@ def split_by_entity(
     schema = ", ".join([*(f"{c} bigint" for c in cs), "run_from bigint", "run_to bigint", "split string"])
     table = spark.createDataFrame(runs, schema)
     mark = F.xxhash64("g_key")
-    ranked = sharded_rank(groups, cs, [F.col("g_key")], F.pmod(mark, F.lit(256)), "g_rank")
+    ranked = running_sums(groups, cs, [mark, F.col("g_key")], {"g_rank": F.lit(1)}, mark, HotGroups(groups, cs, most_rows)).withColumn("g_rank", F.col("g_rank") - 1)
     inside = (F.col("g_rank") >= F.col("run_from")) & (F.col("g_rank") < F.col("run_to"))
     same = inside
     for c in cs:

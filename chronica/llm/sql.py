@@ -100,5 +100,6 @@ P7_KNOWN = _P7 + "SELECT origin, record_id, item FROM every WHERE ok"
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p8_held": "SELECT pack_name, (SELECT count(*) FROM documents) AS documents, 0::BIGINT AS over_full, 0::BIGINT AS torn FROM pack_sizes",
         "p1_found": P1_FOUND, "p1_together": P1_TOGETHER, "p3_found": P3_FOUND, "p3_pairs": P3_PAIRS, "p3_every_pair": P3_EVERY_PAIR, "p4_found": P4_FOUND, "p7_found": P7_FOUND, "p7_known": P7_KNOWN,
     }
