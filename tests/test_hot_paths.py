@@ -4,6 +4,7 @@ import pytest
 from helpers import DATA, rows_of, sql_rows
 from pyspark.sql import functions as F
 
+from chronica.operators import temporal
 from chronica.operators.quantiles import group_quantiles
 from chronica.operators.shards import HotGroups, running_sums, text_axis
 from chronica.plans import core_queries as Q
@@ -42,3 +43,27 @@ def test_a_shard_must_be_a_number(spark):
     texts = ["", "2150", "2150-03-01", "2150-03-02", "abc", "é", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text_axis(F.col("t"), 7)).collect()]
     assert got[:-1] == sorted(got[:-1]) and got[-1] is None
+
+
+def test_windows_after_a_row_in_hot_keys(spark):
+    df = spark.read.parquet(f"{DATA}/events.parquet").select("event_id", "user_id", "ts", "value")
+    for run in (lambda m: temporal.sum_after(df, ["user_id"], "ts", "value", 6, "x", m), lambda m: temporal.raised_within(df, ["user_id"], "ts", "value", 24, "x", m)):
+        a, b = ({r["event_id"]: r["x"] for r in run(m).collect()} for m in (5, 10**6))
+        assert a.keys() == b.keys() and all(a[k] == b[k] or abs(a[k] - b[k]) < 1e-6 for k in a)
+
+
+def test_islands_and_existence_in_hot_keys(spark):
+    df = spark.read.parquet(f"{DATA}/events.parquet").select("event_id", "user_id", "ts", "value", "event_type")
+    a, b = (sorted(map(tuple, temporal.low_islands(df, ["user_id"], "ts", "event_id", F.col("value") < 60, 12, m).collect())) for m in (5, 10**6))
+    assert a == b and a
+    rows, marks = df.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), df.where("event_type = 'click'")
+    a, b = ({r["event_id"]: r["exists_within"] for r in temporal.exists_within(rows, marks, "user_id", "ts", "ts", 2, 1, most_rows=m).collect()} for m in (5, 10**6))
+    assert a == b and set(a.values()) == {True, False}
+
+
+def test_joins_within_a_window(spark):
+    df = spark.read.parquet(f"{DATA}/events.parquet").select("event_id", "user_id", "ts")
+    left, right = df.where("event_id % 3 = 0").withColumnRenamed("ts", "at"), df.withColumnsRenamed({"ts": "time", "event_id": "other"})
+    got = temporal.join_within(left, right, "user_id", "at", "time", 24).select("event_id", "other")
+    want = left.join(right, "user_id").where("time < at and time >= at - interval 24 hours").select("event_id", "other")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronica import session
-from chronica.operators import decisions, records, report, resolve, retrieval, sampling, terms
+from chronica.operators import decisions, records, report, resolve, retrieval, sampling, terms, text, vectors
 from chronica.sources import readers
 
 T0 = dt.datetime(2150, 1, 1)
@@ -184,3 +184,46 @@ def test_settings_folders_and_pages(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.scope_tables(spark, {"profiles": {"p": ["g"]}, "groups": {}})
     assert report.cluster_shape(spark.createDataFrame([], "c string, s string"), "c", "s").first()["clusters"] == 0
+
+
+def test_linked_terms_longest_wins(spark):
+    terms_of = spark.createDataFrame([("kidney", "kidney"), ("ckd", "chronic kidney disease"), ("ckd", "CKD"), ("weight", "weight"), ("drug", "furosémide")], "concept string, term string")
+    docs = spark.createDataFrame([(1, "Chronic kidney  disease; the kidney, CKD."), (2, "overweight"), (3, None), (4, ""), (5, "Furosémide " * 3000)], "id int, t string")
+    out = {(r["id"], r["concept"], r["term"]): r["n"] for r in text.linked_terms(docs, "id", "t", terms_of, 3).collect()}
+    assert out == {(1, "ckd", "chronic kidney disease"): 1, (1, "kidney", "kidney"): 1, (1, "ckd", "CKD"): 1, (5, "drug", "furosémide"): 3000}
+
+
+def test_diverse_rows_equal_the_sequential_picks(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, 10 * k + n, [float(x) for x in rng.normal(size=5)], float(rng.random())) for k in range(3) for n in range(10)] + [(9, 99, [0.0] * 5, None), (9, 98, None, 1.0)]
+    df = spark.createDataFrame(rows, "k int, i int, v array<double>, s double")
+    got = {}
+    for r in vectors.diverse(df, "k", "i", "v", "s", 4, 0.7, -1.0).orderBy("pick").collect():
+        got.setdefault(r["k"], []).append(r["i"])
+    for k in range(3):
+        mine = [r for r in rows if r[0] == k]
+        picks = vectors.select_diverse(np.array([r[2] for r in mine]), np.array([r[3] for r in mine]), 0.7, 4, -1.0)
+        assert got[k] == [mine[n][1] for n in picks]
+    assert got[9] == [99]
+
+
+def test_pairs_above_and_centroids(spark):
+    rng = np.random.default_rng(8)
+    points = [(n, [float(x) for x in rng.normal(size=4)]) for n in range(40)] + [(40, None), (41, [0.0] * 4)]
+    df = spark.createDataFrame(points, "i bigint, v array<double>")
+    unit = {n: np.array(v) / (np.linalg.norm(v) or 1) for n, v in points if v is not None}
+    want = {(a, b) for a in unit for b in unit if a % 4 == 0 and a != b and unit[a] @ unit[b] >= 0.6}
+    assert {(r["query"], r["row"]) for r in vectors.pairs_above(df.where("i % 4 = 0"), df, "i", "v", 0.6, block=7).collect()} == want
+    parts = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("b", [-1.0, 0.0]), ("b", None)], "k string, v array<double>")
+    asked = spark.createDataFrame([("a", [1.0, 1.0]), ("b", [1.0, 0.0]), ("c", [1.0, 0.0]), ("a", None)], "k string, q array<double>")
+    out = [(r["k"], round(r["likeness"], 6)) for r in vectors.centroid_likeness(parts, "k", "v", asked, "q").collect()]
+    assert sorted(out) == [("a", 0.0), ("a", 1.0), ("b", 0.0), ("c", 0.0)]
+
+
+def test_cache_keeps_finished_batches(spark, tmp_path):
+    path, schema = str(tmp_path / "cache"), "text string, n int"
+    assert readers.read_cache(spark, path, schema).count() == 0
+    readers.extend_cache(spark.createDataFrame([("a", 1)], schema), path, "1")
+    readers.extend_cache(spark.createDataFrame([("b", 2)], schema), path, "2")
+    (tmp_path / "cache" / "_temporary").mkdir()
+    assert {tuple(r) for r in readers.read_cache(spark, path, schema).select("text", "n").collect()} == {("a", 1), ("b", 2)}
