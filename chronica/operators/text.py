@@ -127,23 +127,33 @@ def term_links(docs: DataFrame, doc_id: str, text: str, terms: list[tuple[str, s
     return docs.select(doc_id, F.explode(hits).alias("concept")).groupBy(doc_id, "concept").agg(F.count(F.lit(1)).alias("n"))
 
 
-def linked_terms(docs: DataFrame, doc_id: str, text: str, terms: DataFrame, most_words: int = 5) -> DataFrame:
+def linked_terms(docs: DataFrame, doc_id: str, text: str, terms: DataFrame, most_words: int = 5, most_terms: int = 100_000) -> DataFrame:
     """(doc_id, concept, term, n): terms of a dictionary of any size that stand in a text as whole words, the longest match winning.
 
-    ``terms`` (concept, term) is joined by equality with the runs of one to ``most_words`` words of each text, so neither a pattern nor a list
-    grows with it; terms of more words match nothing. Words are runs of letters, digits and marks on letters, without regard to case. A match
-    inside a longer one of another concept doesn't count. Matches are compared inside their text only. Null texts hold none.
+    ``terms`` (concept, term) is joined by equality with the runs of one to ``most_words`` words that begin with the first word of a term, so
+    neither a pattern nor a list grows with it; terms of more words match nothing. Words are runs of letters, digits and marks on letters, without
+    regard to case. A match inside a longer one of another concept doesn't count. Matches are compared inside their text only, each with those that
+    start fewer than ``most_words`` words before it, as no other is long enough to hold it. Null texts hold none.
+
+    A dictionary of at most ``most_terms`` terms is sent to every task, and only matches are shuffled; which way is taken never changes the rows.
     """
-    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
-    known = terms.select("concept", "term", F.array_join(words(F.col("term")), " ").alias("l_run")).where("l_run <> ''").distinct()
+    words = lambda c: F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{M}\p{N}]+"), "")
+    split = terms.select("concept", "term", words(F.col("term")).alias("l_words"))
+    known = split.select("concept", "term", F.array_join("l_words", " ").alias("l_run"), F.get("l_words", F.lit(0)).alias("l_first")).where("l_run <> ''").distinct()
+    # A local table from Python has no known size, so adaptive execution would shuffle every run before it sees how few terms there are.
+    sent = F.broadcast if known.limit(most_terms + 1).count() <= most_terms else lambda df: df
     each = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("l_doc"), words(F.col(text)).alias("w"))
-    at = each.select("l_doc", "w", F.posexplode("w").alias("s", "first"))
-    runs = at.select("l_doc", "s", F.explode(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("w", F.col("s") + 1, n), " ").alias("run"), (F.col("s") + n <= F.size("w")).alias("whole")))).alias("r"))
-    hits = runs.where("r.whole").join(known, F.col("r.run") == F.col("l_run")).select("l_doc", "concept", "term", "s", (F.col("s") + F.col("r.n")).alias("e"))
-    by = hits.groupBy("l_doc").agg(F.collect_list(F.struct("concept", "term", "s", "e")).alias("h"))
-    longer = lambda x: F.exists("h", lambda y: (y.s <= x.s) & (y.e >= x.e) & (y.e - y.s > x.e - x.s) & (y.concept != x.concept))
-    kept = by.select("l_doc", F.inline(F.filter("h", lambda x: ~longer(x))))
-    return kept.groupBy(F.col("l_doc").alias(doc_id), "concept", "term").agg(F.count(F.lit(1)).alias("n"))
+    # The outer form, else the words are split once more by a filter for texts without any; these go in the join.
+    at = each.select("l_doc", "w", F.posexplode_outer("w").alias("s", "first"))
+    ahead = at.select("l_doc", "s", "first", F.slice("w", F.col("s") + 1, most_words).alias("ahead"))  # never the whole text with every word of it
+    starts = ahead.join(sent(known.select("l_first").distinct()), F.col("first") == F.col("l_first"), "left_semi")
+    run = lambda n: F.when(F.size("ahead") >= n, F.struct((F.col("s") + n).alias("e"), F.array_join(F.slice("ahead", 1, n), " ").alias("run")))
+    runs = starts.select("l_doc", "s", F.explode(F.array(*[run(n) for n in range(1, most_words + 1)])).alias("r")).where("r is not null")
+    hits = runs.join(sent(known.drop("l_first")), F.col("r.run") == F.col("l_run")).select("l_doc", "concept", "term", "s", F.col("r.e").alias("e"))
+    near = Window.partitionBy("l_doc").orderBy("s").rangeBetween(1 - most_words, 0)
+    beside = hits.withColumn("h", F.collect_set(F.struct("concept", "s", "e")).over(near))
+    longer = F.exists("h", lambda y: (y.e >= F.col("e")) & (y.e - y.s > F.col("e") - F.col("s")) & (y.concept != F.col("concept")))
+    return beside.where(~longer).groupBy(F.col("l_doc").alias(doc_id), "concept", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def context(text: Column, term: str, words: int = 15) -> Column:

@@ -199,7 +199,8 @@ def term_links(spark: SparkSession, folder: str) -> DataFrame:
 
 def linked_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Terms of a dictionary table in the passages, the longest match winning."""
-    terms = spark.createDataFrame(TERMS, "concept string, term string")
+    # A table of constants, as one from Python rows would start a Python worker a core for ten of them.
+    terms = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(c).alias("concept"), F.lit(t).alias("term")) for c, t in TERMS])))
     return text.linked_terms(table(spark, folder, "documents"), "doc_id", "text", terms, 4)
 
 

@@ -193,6 +193,19 @@ def test_linked_terms_longest_wins(spark):
     assert out == {(1, "ckd", "chronic kidney disease"): 1, (1, "kidney", "kidney"): 1, (1, "ckd", "CKD"): 1, (5, "drug", "furosémide"): 3000}
 
 
+def test_linked_terms_shuffle_matches_only(spark):
+    terms_of = spark.createDataFrame([("kidney", "kidney"), ("ckd", "chronic kidney disease"), ("ill", "disease"), ("ill", "Disease"), ("b", "a a"), ("a", "a")], "concept string, term string")
+    docs = spark.createDataFrame([(1, "Chronic kidney disease, kidney"), (2, "disease chronic"), (3, "no match here"), (4, None), (5, " , "), (6, "a a a b a")], "id int, t string")
+    out = text.linked_terms(docs, "id", "t", terms_of, 3)
+    got = {(r["id"], r["concept"], r["term"]): r["n"] for r in out.collect()}
+    assert got == {(1, "ckd", "chronic kidney disease"): 1, (1, "kidney", "kidney"): 1, (2, "ill", "disease"): 1, (2, "ill", "Disease"): 1, (6, "b", "a a"): 2, (6, "a", "a"): 1}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # no run of words is shuffled before it is found
+    shuffled = text.linked_terms(docs, "id", "t", terms_of, 3, most_terms=1)
+    assert "SortMergeJoin" in shuffled._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, out.collect()))
+
+
 def test_diverse_rows_equal_the_sequential_picks(spark):
     rng = np.random.default_rng(7)
     rows = [(k, 10 * k + n, [float(x) for x in rng.normal(size=5)], float(rng.random())) for k in range(3) for n in range(10)] + [(9, 99, [0.0] * 5, None), (9, 98, None, 1.0)]
