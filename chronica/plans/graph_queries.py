@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronica.functions import scalars as X
@@ -121,9 +121,13 @@ def near_dup_sets(spark: SparkSession, folder: str) -> DataFrame:
     empty = F.array().cast("array<string>")
     names = F.concat(*[F.coalesce(F.col(c), empty) for c in ("conditions", "procedures", "drugs")])
     items = F.sort_array(F.array_distinct(F.filter(F.transform(names, X.normalised), lambda x: x != "")))
-    rows = table(spark, folder, "visits").select("hadm_id", items.alias("items")).where(F.size("items") > 10)
-    distinct = rows.groupBy("items").agg(F.min("hadm_id").alias("ord"))
-    return sets.drop_near_sets(distinct, "ord", 5, 10).select("ord", F.size("items").alias("n"))
+    # Names are never fewer than their distinct forms, so most visits are left out before any name is written in its normal form.
+    rows = table(spark, folder, "visits").where(F.size(names) > 10).select("hadm_id", items.alias("items")).where(F.size("items") > 10)
+    distinct = rows.groupBy("items").agg(F.min("hadm_id").alias("hadm_id"))
+    # A visit may have several rows with unequal lists, so a visit's sets follow each other by their items: the order must be unique.
+    place = F.row_number().over(Window.partitionBy("hadm_id").orderBy("items"))
+    ordered = distinct.select("items", F.struct("hadm_id", place.alias("place")).alias("at"))
+    return sets.drop_near_sets(ordered, "at", 5, 10).select(F.col("at.hadm_id").alias("ord"), F.size("items").alias("n"))
 
 
 def _edges(spark: SparkSession, folder: str) -> DataFrame:

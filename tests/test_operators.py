@@ -110,6 +110,37 @@ def test_near_sets_are_dropped_greedily(spark):
     assert sets.drop_near_sets(df.where("false"), "o").count() == 0
 
 
+def test_near_sets_of_any_size_meet(spark):
+    rng = np.random.default_rng(8)
+    rows, seen = [], set()
+    while len(rows) < 150:
+        items = tuple(sorted({f"i{x}" for x in rng.choice(9, rng.integers(1, 8), replace=False)}))
+        if items not in seen:
+            seen.add(items)
+            rows.append((len(rows), list(items)))
+    df = spark.createDataFrame(rows, "o int, items array<string>")
+    for apart, least in ((5, 0), (2, 1), (3, 3), (1, 0)):
+        assert {r["o"] for r in sets.drop_near_sets(df, "o", apart, least).collect()} == brute_near(rows, apart, least)
+    far = spark.createDataFrame([(1, ["a", "b"]), (2, ["c", "d"]), (3, ["e", "f", "g"])], "o int, items array<string>")
+    assert {r["o"] for r in sets.drop_near_sets(far, "o", 5, 0).collect()} == {1, 3}
+
+
+def test_near_candidates_hold_all_near_pairs_and_few_others(spark):
+    rng = np.random.default_rng(9)
+    rows, seen = [], set()
+    while len(rows) < 600:  # ten items in most sets, the others in few
+        items = tuple(sorted({f"c{x}" for x in range(10) if rng.random() < 0.75} | {f"r{x}" for x in rng.choice(80, rng.integers(3, 6))}))
+        if items not in seen:
+            seen.add(items)
+            rows.append((len(rows), list(items)))
+    df = spark.createDataFrame(rows, "o int, items array<string>")
+    large = df.where("size(items) > 8")
+    got = {(r["a"], r["b"]) for r in sets.near_candidates(large, "o", 5, 8).collect()}
+    kept = [(o, set(i)) for o, i in rows if len(i) > 8]
+    near = {(a, b) for n, (a, x) in enumerate(kept) for b, y in kept[n + 1 :] if len(x ^ y) < 5}
+    assert near and near <= got and len(got) < 3 * len(near) + 100
+
+
 def test_paths_and_edges(spark):
     edges = spark.createDataFrame([("a", "r", "b", 1), ("b", "r", "a", 2), ("b", "r", "c", 3), ("a", "r", "d", 4), ("d", "r", "c", 5), ("c", "r", "c", 6), ("c", "noise", "e", 7)], "head string, relation string, tail string, o int")
     simple = graph.simple_graph(edges, "o", ["noise"])
